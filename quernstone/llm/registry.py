@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.mixing import OP9_SQL, op9_mixing
+from quernstone.llm.secrets import op1_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_mixing": op9_mixing}
+    return {"op1_secrets": op1_secrets, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
