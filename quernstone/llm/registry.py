@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.llm.chat import OP3_SQL, op3_chat
+from quernstone.llm.licenses import op6_licenses
 from quernstone.llm.mixing import OP9_SQL, op9_mixing
 from quernstone.llm.secrets import op1_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op9_mixing": op9_mixing}
+    return {
+        "op1_secrets": op1_secrets,
+        "op3_chat": op3_chat,
+        "op6_licenses": op6_licenses,
+        "op9_mixing": op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op3_chat": OP3_SQL, "op9_mixing": OP9_SQL}
