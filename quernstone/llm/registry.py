@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.chat import OP3_SQL, op3_chat
+from quernstone.llm.decontaminate import op8_decontamination
 from quernstone.llm.language import op5_language
 from quernstone.llm.licenses import op6_licenses
 from quernstone.llm.mixing import OP9_SQL, op9_mixing
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat": op3_chat,
         "op5_language": op5_language,
         "op6_licenses": op6_licenses,
+        "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
     }
 
