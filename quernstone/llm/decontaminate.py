@@ -166,6 +166,40 @@ def align(pattern: np.ndarray, text: np.ndarray, first: int, last: int, most: in
     return (int(cost[k]), int(start[k]), int(diag[k] + len(pattern))) if cost[k] <= most else None
 
 
+def within_budget(
+    codes: np.ndarray, patterns: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, span: int, most: int
+) -> np.ndarray:
+    """Edits of align() for many (pattern row, first diagonal) at once, each in codes[low:high]; above `most`: most + 1.
+
+    Costs only, all candidates a row of the pattern at a time; the hopeless leave every few rows.
+    """
+    n = patterns.shape[1]
+    width = span + 2 * most
+    slots = np.arange(width, dtype=np.int16)
+    out = np.full(len(patterns), most + 1)
+    alive = np.arange(len(patterns))
+    diag = first[:, None] - most + slots
+    far = np.int16(n + most + 1)
+    cost = np.where((diag >= low[:, None]) & (diag <= high[:, None]), np.int16(0), far)
+    low, high = low[:, None], high[:, None]
+    for i in range(n):
+        at = diag + i
+        inside = (at >= low) & (at < high)
+        same = inside & (codes[np.minimum(np.maximum(at, 0), len(codes) - 1)] == patterns[:, i, None])
+        step = np.where(inside, cost + ~same, far)
+        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + np.int16(1))
+        step = np.minimum.accumulate(step - slots, axis=1) + slots
+        cost = np.where((at + 1 >= low) & (at + 1 <= high), step, far)
+        if i % 6 == 5 or i == n - 1:
+            good = cost.min(axis=1) <= most
+            if not good.all():
+                alive, diag, cost, low, high, patterns = (x[good] for x in (alive, diag, cost, low, high, patterns))
+                if not len(alive):
+                    return out
+    out[alive] = cost.min(axis=1)
+    return out
+
+
 def _scan(codes: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, segment, start, end, edits) in a buffer of documents; bounds: where each begins, and the end."""
     h = grams(codes)
@@ -181,33 +215,51 @@ def _scan(codes: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[tuple
     if not total:
         return
     where = np.repeat(index.begin[slot] - np.cumsum(count) + count, count) + np.arange(total)
-    segment, diag = index.segment[where], np.repeat(hit, count) - index.place[where]
+    segment, place = index.segment[where], index.place[where]
+    diag = np.repeat(hit, count) - place
     doc = np.searchsorted(bounds, np.repeat(hit, count), side="right") - 1
     half = index.budget[segment] + 1
-    keys = []
     offset = SEGMENT * 2
+    found = []
     for shift in (0, 1):  # two sets of bands, apart by half a band
         band = (diag + offset + shift * half) // (2 * half)
-        keys.append(((band * 2 + shift) * len(index.item) + segment) * len(bounds) + doc)
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    d, rest = key % len(bounds), key // len(bounds)
-    s, rest = rest % len(index.item), rest // len(index.item)
-    enough = n >= index.need[s]
-    seen: dict[tuple[int, int], int] = {}
-    for doc_at, seg, code in zip(d[enough].tolist(), s[enough].tolist(), rest[enough].tolist()):
-        half_band, shift = int(index.budget[seg]) + 1, code % 2
-        first = (code // 2) * 2 * half_band - offset - shift * half_band
-        if seen.get((doc_at, seg), -1) >= first:  # found already by the band before
+        key = (band * len(index.item) + segment) * len(bounds) + doc
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(n[at] >= index.need[segment])
+        # of those, only different places of the segment count
+        both = np.unique(key[some] * SEGMENT + place[some]) // SEGMENT
+        keys, n = np.unique(both, return_counts=True)
+        d, rest = keys % len(bounds), keys // len(bounds)
+        s, band = rest % len(index.item), rest // len(index.item)
+        first = band * 2 * (index.budget[s] + 1) - offset - shift * (index.budget[s] + 1)
+        found.append(np.stack([d, s, first])[:, n >= index.need[s]])
+    d, s, first = np.concatenate(found, axis=1)
+    if not len(d):
+        return
+    size = np.array([len(c) for c in index.codes])
+    edits = index.budget[s] + 1
+    for n in np.unique(size[s]):
+        mine = np.flatnonzero(size[s] == n)
+        e = int(index.budget[s[mine[0]]])
+        distinct, row = np.unique(s[mine], return_inverse=True)
+        patterns = np.stack([index.codes[k] for k in distinct])[row]
+        edits[mine] = within_budget(
+            codes, patterns, first[mine], bounds[d[mine]], bounds[d[mine] + 1] - 1, 2 * e + 2, e
+        )
+    good = np.flatnonzero(edits <= index.budget[s])
+    for doc_at, seg, begin, cost in zip(d[good].tolist(), s[good].tolist(), first[good].tolist(), edits[good].tolist()):
+        pattern, e = index.codes[seg], int(index.budget[seg])
+        left = max(int(bounds[doc_at]), begin - e)
+        right = min(int(bounds[doc_at + 1]) - 1, begin + 2 * (e + 1) + len(pattern) + e)
+        if cost == 0:
+            at = codes[left:right].tobytes().find(pattern.tobytes()) // 4
+            while (codes[left + at : left + at + len(pattern)] != pattern).any():  # found between two codes
+                at += 1
+            yield doc_at, seg, left + at, left + at + len(pattern), 0
             continue
-        lo, hi = int(bounds[doc_at]), int(bounds[doc_at + 1]) - 1
-        e = int(index.budget[seg])
-        pattern = index.codes[seg]
-        left = max(lo, first - e)
-        right = min(hi, first + 2 * half_band + len(pattern) + e)
-        found = align(pattern, codes[left:right], first - left, first - left + 2 * half_band - 1, e)
-        if found:
-            seen[(doc_at, seg)] = first + half_band
-            yield doc_at, seg, left + found[1], left + found[2], found[0]
+        shown = align(pattern, codes[left:right], begin - left, begin - left + 2 * e + 1, e)
+        if shown:
+            yield doc_at, seg, left + shown[1], left + shown[2], shown[0]
 
 
 def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
