@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.codes import STOP, lowered, normal
 from quernstone.llm.common import read
 
 Q = 8
@@ -32,37 +32,6 @@ BITS = 22
 BASE = 0x9E3779B97F4A7C15
 WRAP = (1 << 64) - 1
 MATCHES = "doc_id long, item_id long, start long, end long, edits int"
-STOP = 1  # stands between documents in a buffer
-
-
-@lru_cache(maxsize=1)
-def _kept() -> np.ndarray:
-    """For each code point itself if it is a letter or digit, STOP for U+0000, else 0."""
-    table = np.zeros(0x110000, np.uint32)
-    for point in range(0x110000):
-        if not 0xD800 <= point < 0xE000 and chr(point).isalnum():
-            table[point] = point
-    table[0] = STOP
-    return table
-
-
-def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes with 32 for each run of other characters, and the place of each in lower-cased text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _kept()[points]
-    keep = codes != 0
-    if len(keep):
-        keep[1:] |= codes[:-1] != 0
-    at = np.flatnonzero(keep)
-    codes = codes[at]
-    codes[codes == 0] = 32
-    return codes, at
-
-
-def lowered(text: str) -> str:
-    """Lower case with as many characters, so that places hold in the original."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
 
 
 def grams(codes: np.ndarray) -> np.ndarray:

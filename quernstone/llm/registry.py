@@ -10,6 +10,7 @@ from quernstone.llm.chat import OP3_SQL, op3_chat
 from quernstone.llm.decontaminate import op8_decontamination
 from quernstone.llm.language import op5_language
 from quernstone.llm.licenses import op6_licenses
+from quernstone.llm.minhash import op2_minhash
 from quernstone.llm.mixing import OP9_SQL, op9_mixing
 from quernstone.llm.secrets import op1_secrets
 
@@ -17,6 +18,7 @@ from quernstone.llm.secrets import op1_secrets
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_minhash": op2_minhash,
         "op3_chat": op3_chat,
         "op5_language": op5_language,
         "op6_licenses": op6_licenses,
