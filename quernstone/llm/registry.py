@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.llm.chat import OP3_SQL, op3_chat
 from quernstone.llm.decontaminate import op8_decontamination
 from quernstone.llm.embeddings import op7_embeddings
+from quernstone.llm.html import op10_html
 from quernstone.llm.language import op5_language
 from quernstone.llm.licenses import op6_licenses
 from quernstone.llm.minhash import op2_minhash
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_embeddings": op7_embeddings,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
+        "op10_html": op10_html,
     }
 
 
