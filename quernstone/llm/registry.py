@@ -14,6 +14,7 @@ from quernstone.llm.language import op5_language
 from quernstone.llm.licenses import op6_licenses
 from quernstone.llm.minhash import op2_minhash
 from quernstone.llm.mixing import OP9_SQL, op9_mixing
+from quernstone.llm.quality import op4_quality
 from quernstone.llm.secrets import op1_secrets
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op2_minhash": op2_minhash,
         "op3_chat": op3_chat,
+        "op4_quality": op4_quality,
         "op5_language": op5_language,
         "op6_licenses": op6_licenses,
         "op7_embeddings": op7_embeddings,
