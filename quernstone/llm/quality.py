@@ -1,24 +1,25 @@
 """Quality classification by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters (lower-case letters and digits, one space between runs), of order 5.
+The model is over characters as they stand (white space as one space, any digit as 0), of order 5.
 Counts of trusted texts are summed per n-gram in Spark; continuation counts, discounts and
 interpolated probabilities (Chen and Goodman, "An empirical study of smoothing techniques for
 language modeling", 1998) are joins and sums of those counts, sharded by n-gram. A document's
 perplexity is over all its characters; the limit is a quantile, per language, of the perplexities of
-held-out trusted documents, widened by a margin.
+held-out trusted documents, widened by a margin. For the decision a text's bits are averaged with a
+fixed number of usual characters, as a few characters are no evidence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.codes import STOP, lowered, normal
+from quernstone.llm.codes import SPACE, STOP
 from quernstone.llm.common import checkpoint, read
 
 ORDER = 5
@@ -26,17 +27,42 @@ WIDTH = 12  # bits of a character's id in an n-gram's key
 LETTERS = (1 << WIDTH) - 2  # ids from 2; 1 is any rarer character, 0 the start of a text
 HELD = 5  # one in so many trusted documents sets the limits instead of training
 QUANTILE, MARGIN = 0.99, 1.25
+PRIOR_CHARS = 50  # a text is judged as if so many characters of its language's usual perplexity stood before it
 SHARD_ROWS = 4_000_000  # n-grams that one scoring pass holds
 BUFFER_CHARS = 1 << 19
 BROADCAST_IDS = 2_000_000
 MASK = (1 << (WIDTH * ORDER)) - 1
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """For each code point itself, SPACE for white space, "0" for digits; STOP for U+0000."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for point in range(0x110000):
+        if not 0xD800 <= point < 0xE000:
+            if chr(point).isspace():
+                table[point] = SPACE
+            elif chr(point).isdecimal():
+                table[point] = ord("0")
+    table[0] = STOP
+    return table
+
+
+def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the text with runs of white space as one, and the place of each."""
+    codes = _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    keep = codes != SPACE
+    if len(keep):
+        keep[1:] |= codes[:-1] != SPACE
+    at = np.flatnonzero(keep)
+    return codes[at], at
+
+
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0x110000, np.int64)
     for batch in batches:
         for text in batch.column("text"):
-            codes, _ = normal(lowered(text.as_py() or ""))
+            codes, _ = normal(text.as_py() or "")
             counts += np.bincount(codes, minlength=len(counts)) if len(codes) > 1 << 16 else 0
             if len(codes) <= 1 << 16:
                 np.add.at(counts, codes, 1)
@@ -55,9 +81,8 @@ def alphabet(texts: DataFrame) -> np.ndarray:
 
 def _keys(texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the ORDER characters that end at each character, start padding 0; and where each text begins."""
-    low = [lowered(t) for t in texts]
-    codes, at = normal("\0".join(low))
-    bounds = np.searchsorted(at, np.cumsum([0] + [len(t) + 1 for t in low]))
+    codes, at = normal("\0".join(texts))
+    bounds = np.searchsorted(at, np.cumsum([0] + [len(t) + 1 for t in texts]))
     real = codes != STOP
     letters = ids[codes].astype(np.int64)
     letters[~real] = 0
@@ -312,7 +337,7 @@ def judge(
     the model, and that one sets its language's limit: the quantile of their perplexities per
     character, times `margin`. A language without held-out trusted text takes the limit over all
     of it; with no trusted text at all everything is kept. Null lang is a language of its own.
-    Null and empty texts, and texts without letters and digits, have a null perplexity and aren't kept.
+    Null and empty texts have a null perplexity and aren't kept.
     Rows that repeat are judged each (in more than one shard: once per doc_id and lang). Other columns
     are ignored; an empty table gives an empty result.
     """
@@ -325,16 +350,22 @@ def judge(
     ids = alphabet(texts)
     model = train(texts, ids)
     scored = perplexities(docs, model, ids)
+    average = F.col("bits") / F.col("chars")
     scored = checkpoint(
-        scored.select("doc_id", "lang", F.when(F.col("chars") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("chars"))).alias("perplexity"))
+        scored.select("doc_id", "lang", F.when(F.col("chars") > 0, F.pow(F.lit(2.0), average)).alias("perplexity"), "bits", "chars")
     )
     held = scored.where(picked).join(marks, "doc_id").where("perplexity is not null")
-    limits = held.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("limit"))
-    every = held.agg(F.percentile_approx("perplexity", quantile, 10000) * margin).first()[0]
-    limits = limits.withColumnRenamed("lang", "_lang")
+    measures = (
+        (F.percentile_approx("perplexity", quantile, 10000) * margin).alias("limit"),
+        F.percentile_approx("perplexity", 0.5, 10000).alias("usual"),
+    )
+    limits = held.groupBy("lang").agg(*measures).withColumnRenamed("lang", "_lang")
+    limit, usual = held.agg(*measures).first()
     joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    threshold = F.coalesce("limit", F.lit(every).cast("double"))
-    keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
+    threshold = F.coalesce("limit", F.lit(limit).cast("double"))
+    usual = F.log2(F.coalesce("usual", F.lit(usual).cast("double")))
+    judged = F.pow(F.lit(2.0), (F.col("bits") + usual * PRIOR_CHARS) / (F.col("chars") + PRIOR_CHARS))
+    keep = F.col("perplexity").isNotNull() & F.coalesce(judged <= threshold, F.lit(True))
     return joined.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
 
 
