@@ -19,13 +19,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     local mode (tests), a folder of our own is set; on a cluster that would not survive the loss
     of a machine, so it is an error there.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or in local mode one of our own; see checkpoint()."""
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
 
 
 def text_md5(text: Column) -> Column:

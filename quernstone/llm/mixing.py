@@ -13,6 +13,10 @@ BROADCAST_SOURCES = 20_000
 SALTS = 64
 
 
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def rank_sources(sources: DataFrame) -> DataFrame:
     """Adds `place`, the 0-based place of each source by code point, null last.
 
@@ -68,11 +72,13 @@ def mix(
     total_share: float = 1.5,
     max_epochs: float = 2.0,
     seed: str = "mix-1",
+    carry: bool = False,
 ) -> DataFrame:
-    """(row_key columns, size, source_size, target, taken) for every row of `docs`.
+    """(doc_id, source, size, source_size, target, taken) for every row of `docs`; with `carry` also
+    `_row`, a struct of all its columns.
 
-    `docs` needs doc_id, source and text; other columns are ignored, so clashing names are
-    harmless. Sizes are counts of words; null or empty text has size 0. Null sources are one
+    `docs` needs doc_id, source and text; other columns are ignored or carried in the struct, so
+    clashing names are harmless. Sizes are counts of words; null or empty text has size 0. Null sources are one
     source, placed last. Every document is taken floor(target / source_size) whole times; the
     rest of the target is filled by further repetitions of the source's documents in the order
     of a seeded hash, the last of them fractional, so that a source's taken words are its
@@ -82,19 +88,16 @@ def mix(
 
     Scale: the text is read once, into (id, source, size); sums are pre-aggregated by source and
     hash bucket, so one hot source is spread over BUCKETS groups and only the one bucket of it
-    that holds the boundary is sorted.
+    that holds the boundary is sorted. Carried rows stay where they are, but for that bucket's.
     """
-    sized = checkpoint(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        )
-    )
+    sized = checkpoint(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = sized.withColumn("_hash", order).withColumn(
-        "_bucket", (F.conv(F.substring("_hash", 1, 3), 16, 10)).cast("int")
-    )
+
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_hash", order).withColumn("_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
+
+    keyed = hashed(sized)
     buckets = checkpoint(keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("bucket_size")))
     sources = rank_sources(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     by_place = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
@@ -131,6 +134,9 @@ def mix(
     )
     table = sources.join(edges.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     table = checkpoint(table)
+    if carry:
+        whole_rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
+        keyed = hashed(whole_rows)
     rows = with_source(keyed, table, ["source"])
     inside = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1
@@ -144,6 +150,7 @@ def mix(
     )
     edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_cum")))).drop("_cum")
     return plain.unionByName(edge).select(
+        *["_row"] * carry,
         "doc_id",
         "source",
         "size",
@@ -153,6 +160,35 @@ def mix(
     )
 
 
+def repeat(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: the columns of `docs`, `epoch` (from 0) and `epoch_words`, a row per repetition taken.
+
+    A repetition that is taken in part ends after epoch_words words, its n_chars follows. Documents that the mix
+    takes no word of are left out (an empty text has none to take). Columns of the two names are replaced.
+    """
+    columns = [c for c in docs.columns if c not in ("epoch", "epoch_words")]
+    rows = mix(docs.select(*columns), carry=True, **options).where("taken > 0").select("_row", "size", "taken")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), ((F.col("taken") - 1) / F.col("size")).cast("int"))))
+    rows = rows.withColumn("epoch_words", F.least("size", F.col("taken") - F.col("epoch") * F.col("size")))
+    rows = rows.withColumn("text", F.col("_row.text"))
+    # cut behind the last word taken: the pieces between words are kept as they stand
+    gaps = F.split("text", WORD, -1)
+    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    count = F.col("epoch_words").cast("int")
+    pieces = F.zip_with(F.slice(gaps, F.lit(1), count), F.slice(found, F.lit(1), count), lambda g, w: F.concat(g, w))
+    partial = F.col("epoch_words") < F.col("size")
+    text = F.when(partial, F.array_join(pieces, "")).otherwise(F.col("text"))
+    rows = rows.withColumn("_text", text)
+    new = {"text": F.col("_text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(partial, F.length("_text").cast("bigint")).otherwise(F.col("_row.n_chars"))
+    return rows.select(
+        *[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns],
+        "epoch",
+        "epoch_words",
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.chat import OP3_SQL, op3_chat
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
         "op10_html": op10_html,
+        "pipeline": corpus_pipeline.run,
     }
 
 
