@@ -1 +1 @@
-
+"""Scalar operators and functions as Spark columns."""

@@ -1 +1 @@
-
+"""Relational operators over checked plans."""

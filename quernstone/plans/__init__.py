@@ -1 +1 @@
-
+"""Definitions parsed, resolved and type-checked."""

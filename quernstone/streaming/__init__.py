@@ -1 +1 @@
-
+"""Empty by design: the engine's surface has no streaming operator."""
