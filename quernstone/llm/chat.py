@@ -1,7 +1,7 @@
 r"""Chat formatting: typed content parts, flattened into one escaped, reversible transcript.
 
 The template is `<turn:ROLE>` BODY `</turn>` per turn. In roles and bodies a backslash becomes `\b` and
-`<` becomes `\l`, so neither a marker nor a placeholder can occur in content; `unescape` reverses it.
+`<` becomes `\l`, in roles `>` also `\g`, so neither a marker nor a placeholder can occur in content; `unescape` reverses it.
 Parts other than text become placeholders `<image:0>`, `<audio:1>`, `<document:2>`, numbered in order
 through the conversation.
 """
@@ -26,8 +26,13 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    text = F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\g"), F.lit(">"))
+    return F.replace(text, F.lit("\\b"), F.lit("\\"))
 
 
 def text_parts(text: Column) -> Column:
@@ -108,7 +113,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
             "turns",
             lambda t: F.struct(
                 t["role"].alias("role"),
-                F.concat(F.lit(OPEN), escape(t["role"]), F.lit(SHUT)).alias("head"),
+                F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(SHUT)).alias("head"),
                 body(t).alias("body"),
             ),
         ),
@@ -209,7 +214,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 counted AS (
   SELECT *, length(role) + length(text) + 8 + 6
-    + (length(role) - length(replace(replace(role, '\', ''), '<', '')))
+    + (length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), '>', '')))
     + (length(text) - length(replace(replace(text, '\', ''), '<', ''))) AS chars,
     CAST(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+')) AS BIGINT) AS tokens
   FROM turns)

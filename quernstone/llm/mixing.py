@@ -117,7 +117,7 @@ def mix(
             joined = df.join(F.broadcast(right), on, "left")
         else:
             left = df.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)))
-            salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+            salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
             on = [left[k].eqNullSafe(salted[k]) for k in keys] + [left["_salt"] == salted["_salt"]]
             return left.join(salted, on, "left").drop(salted["_salt"], *[salted[k] for k in keys]).drop("_salt")
         return joined.drop(*[right[k] for k in keys])

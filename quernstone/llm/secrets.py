@@ -44,7 +44,7 @@ ENCODINGS = (
     ("mixed", UPPER + LOWER + DIGITS + "+/-_"),
 )
 LETTER_COINCIDENCE = 0.0667  # chance that two letters of running text agree
-MARGIN = 0.5
+MARGIN = 0.65
 BANDS = (20, 32, 48, 64)
 STEPS = 100  # p-values are kept as steps of -log10, rounded to the cautious side
 ALPHA = 0.05
