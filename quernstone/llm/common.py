@@ -33,6 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
 
 
+#: Ids that are broadcast at most; a hash table of so many takes some 60 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def checked_ids(ids: DataFrame) -> DataFrame:
+    """Distinct ids, to be joined with texts: broadcast if counted and few, else left to a shuffle join.
+
+    Broadcast, the texts stay where they are; the count is of all ids, so the choice can't be wrong.
+    """
+    ids = checkpoint(ids.distinct())
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def text_md5(text: Column) -> Column:
     """16 bytes that stand for the whole text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import SPACE, STOP, lowered, normal
-from quernstone.llm.common import checkpoint, connected_components, read, text_md5
+from quernstone.llm.common import checked_ids, checkpoint, connected_components, read, text_md5
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -226,9 +226,10 @@ def _verified(batches: Iterator[pa.RecordBatch], idf: np.ndarray, least: float)
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """Those of `pairs` (a, b) whose texts reach `least`: (a, b, similarity).
 
-    Texts are joined by id, first b's, then a's, so a text that is compared often is not copied
+    Only texts of the pairs' ids are shuffled. They are joined by id, first b's, then a's, so a text that is compared often is not copied
     through a shuffle but meets its partners after the join; a hot `a` is split by the skew join.
     """
+    texts = texts.join(checked_ids(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "doc_id")
     first = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     both = first.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     both = both.select("a", "b", "text_a", "text_b")
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), "total").distinct()
     stars = stars.join(own.select(F.col("rep").alias("a"), F.col("total").alias("total_a")), "a")
     fits = f"least(total, total_a) >= {similarity} * greatest(total, total_a) * (1 - 1e-9)"
-    links = checkpoint(verify(stars.where(fits).select("a", "b"), known, idf, similarity).select("a", "b"))
+    links = checkpoint(verify(checkpoint(stars.where(fits).select("a", "b")), known, idf, similarity).select("a", "b"))
     # the rest: members that their bucket's leader doesn't link, against all of the bucket outside their component
     matched = links.select(F.col("a").alias("leader"), F.col("b").alias("rep")).distinct()
     loose = members.where("rep <> leader").join(matched, ["leader", "rep"], "left_anti")
@@ -294,7 +295,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` without the documents that are not the least of their class."""
-    gone = near_duplicates(docs, similarity).where("not kept").select("doc_id").distinct()
+    gone = checked_ids(near_duplicates(docs, similarity).where("not kept").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

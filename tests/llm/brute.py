@@ -44,7 +44,9 @@ def components(nodes, links):
 
 
 def words(text):
-    return re.findall(r"[^\W_]+", (text or "").lower())
+    # a letter whose lower case is two characters stays as it is
+    low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text or "")
+    return re.findall(r"[^\W_]+", low)
 
 
 def shingles(text):
