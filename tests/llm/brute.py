@@ -4,6 +4,9 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import cache
+
+import numpy as np
 
 ASSIGN = re.compile(r"""(?a:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -65,6 +68,7 @@ def weighted_jaccard(a, b, idf):
 
 def near_classes(docs, idf, least=0.8):
     """{doc_id: class_id} by all pairs. docs: {doc_id: text}."""
+    idf = cache(idf)
     sets = {i: shingles(t) for i, t in docs.items()}
     ids = sorted(i for i in sets if sets[i])
     links = [
@@ -81,14 +85,16 @@ def plain(text):
 
 
 def edits_within(pattern, text):
-    """Least edits of the whole pattern against any part of text."""
-    row = [0] * (len(text) + 1)
-    for i, p in enumerate(pattern, 1):
-        new = [i]
-        for j, t in enumerate(text, 1):
-            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
+    """Least edits of the whole pattern against any part of text: the full table, a row at a time."""
+    codes = np.array([ord(c) for c in text], np.int64)
+    at = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, c in enumerate(pattern, 1):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (codes != ord(c)))
+        new[0] = i
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
 
 
 def segments(item, width=80, stride=40, least=24):
