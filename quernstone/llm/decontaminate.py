@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import STOP, lowered, normal
-from quernstone.llm.common import read
+from quernstone.llm.common import checked_ids, read
 
 Q = 8
 SEGMENT, STRIDE = 80, 40
@@ -313,7 +313,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no item of the benchmark; a null doc_id is never dropped."""
-    leaks = segments_found(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
+    leaks = checked_ids(segments_found(docs, benchmark).select("doc_id").where("doc_id is not null"))
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
