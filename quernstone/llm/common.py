@@ -12,6 +12,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of an Arrow batch between the JVM and Python where rows hold whole texts.
+TEXT_BATCH_ROWS = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch to TEXT_BATCH_ROWS where it is larger.
+
+    The default of 10,000 rows holds tens of MB of text, and with long texts hundreds, once in each of
+    the JVM's off-heap buffers and again in Python. Operators that send texts to Python call this.
+    """
+    if not 0 < int(spark.conf.get(BATCH_SETTING, "10000")) <= TEXT_BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(TEXT_BATCH_ROWS))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` through the cluster's shared checkpoint folder.
 

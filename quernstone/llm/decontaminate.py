@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import STOP, lowered, normal
-from quernstone.llm.common import checked_ids, read
+from quernstone.llm.common import bounded_batches, checked_ids, read
 
 Q = 8
 SEGMENT, STRIDE = 80, 40
@@ -284,6 +284,7 @@ def segments_found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block's index goes to the executors. Documents aren't shuffled.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     items = benchmark.where("text is not null and item_id is not null").select("item_id", "text").dropDuplicates()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0

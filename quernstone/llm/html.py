@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import checkpoint, read
+from quernstone.llm.common import bounded_batches, checkpoint, read
 
 LEAST_CONTENTS = 5
 SUPPORT = 0.5
@@ -389,7 +389,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, least_contents: int = LE
     over all tasks; pages are never shuffled. References and templates are a few KB a host; their
     size is measured, and beyond WRAPPER_BYTES hosts are taken in blocks, each with its own pass.
     """
-    spark = pages.sparkSession
+    bounded_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     order = F.struct(F.xxhash64("page_id"), F.xxhash64("html"))
     chosen = checkpoint(pages.where("html is not null").groupBy("host").agg(F.min_by("html", order).alias("html")))

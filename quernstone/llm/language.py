@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import read
+from quernstone.llm.common import bounded_batches, read
 
 DIMENSIONS = 512
 SEED = 20_011
@@ -136,6 +136,7 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> di
 
     Each task sums its own texts, so what is shuffled and collected is languages x dimensions.
     """
+    bounded_batches(docs.sparkSession)
     rows = (
         docs.where("lang is not null and text is not null")
         .select("lang", "text")
@@ -157,6 +158,7 @@ def predict(
     Null texts and texts without a letter, and all texts if nothing was learned, are `und` with score
     0. Ties go to the language that sorts first. Columns of these two names are replaced.
     """
+    bounded_batches(docs.sparkSession)
     names = list(languages)
     made = ("lang_pred", "score")
     fields = [f for f in docs.schema.fields if f.name not in made]

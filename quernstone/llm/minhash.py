@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import SPACE, STOP, lowered, normal
-from quernstone.llm.common import checked_ids, checkpoint, connected_components, read, text_md5
+from quernstone.llm.common import bounded_batches, checked_ids, checkpoint, connected_components, read, text_md5
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     with nothing. Rows that repeat a doc_id are one document: they share its class and each is
     returned. A null doc_id has a null class and is kept. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
     idf = idf_table(known)

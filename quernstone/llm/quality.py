@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import SPACE, STOP
-from quernstone.llm.common import checkpoint, read
+from quernstone.llm.common import bounded_batches, checkpoint, read
 
 ORDER = 5
 WIDTH = 12  # bits of a character's id in an n-gram's key
@@ -341,6 +341,7 @@ def judge(
     Rows that repeat are judged each (in more than one shard: once per doc_id and lang). Other columns
     are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "lang", "text")
     picked = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0
     marks = checkpoint(trusted.where("doc_id is not null").select("doc_id").distinct())
