@@ -165,21 +165,18 @@ class Graph:
         # follow the edges of what lies within the threshold; a beam that it fills may have dropped some
         full = np.flatnonzero(hits.all(axis=1))
         for q in full:
-            inside = np.flatnonzero(self.vectors @ queries[q] >= least) if len(full) > n else None
-            if inside is None:
-                frontier = ids[q][hits[q]]
-                known = np.zeros(n + 1, bool)
-                known[n] = True
+            frontier = ids[q][hits[q]]
+            known = np.zeros(n, bool)
+            known[frontier] = True
+            tried = known.copy()
+            while len(frontier):
+                near = layer.edges[frontier].ravel()
+                near = np.unique(near[near >= 0])
+                near = near[~tried[near]]
+                tried[near] = True
+                frontier = near[self.vectors[near] @ queries[q] >= least]
                 known[frontier] = True
-                tried = known.copy()
-                while len(frontier):
-                    near = layer.edges[frontier].ravel()
-                    near = np.unique(near[near >= 0])
-                    near = near[~tried[near]]
-                    tried[near] = True
-                    frontier = near[self.vectors[near] @ queries[q] >= least]
-                    known[frontier] = True
-                inside = np.flatnonzero(known[:n])
+            inside = np.flatnonzero(known)
             new = np.setdiff1d(inside, ids[q][hits[q]])
             found_q.append(np.full(len(new), q))
             found_v.append(new)
