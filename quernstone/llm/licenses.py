@@ -188,3 +188,41 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(labels), ",").alias("labels"),
         "score",
     )
+
+
+def _sql() -> str:
+    """The query in DuckDB SQL, with every line held against every template instead of the filtered join."""
+    words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    places = ", ".join(
+        "list_transform(list_filter(range(len(w)), lambda i: "
+        + " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split()))
+        + f"), lambda i: {{'at': i, 'label': '{label}'}})"
+        for phrase, label in PHRASES
+    )
+    rows = []
+    for label, statement in TEMPLATES:
+        distinct = sorted(set(statement.split()))
+        need = math.ceil(THRESHOLD * len(distinct) - 1e-9)
+        rows.append(f"('{label}', {distinct!r}, {need})")
+    return f"""
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+worded AS (SELECT doc_id, low, {words.format('low')} AS w FROM t),
+placed AS (SELECT doc_id, len(w) AS n_words, list_concat({places}) AS found, string_split(low, chr(10)) AS lines FROM worded),
+template(label, words, need) AS (VALUES {', '.join(rows)}),
+line AS (SELECT doc_id, {words.format('unnest(lines)')} AS words FROM placed),
+held AS (
+  SELECT doc_id, label, len(list_intersect(line.words, template.words)) / len(template.words) AS containment
+  FROM line JOIN template ON len(list_intersect(line.words, template.words)) >= need),
+matched AS (SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS best FROM held GROUP BY doc_id),
+based AS (SELECT *, list_transform(found, lambda x: x.at) AS places, list_distinct(list_transform(found, lambda x: x.label)) AS base FROM placed)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+  CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ','), '') AS labels,
+  CAST(CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS DOUBLE) AS score
+FROM based LEFT JOIN matched USING (doc_id)
+"""
+
+
+OP6_SQL = _sql()

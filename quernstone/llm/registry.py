@@ -12,7 +12,7 @@ from quernstone.llm.decontaminate import op8_decontamination
 from quernstone.llm.embeddings import op7_embeddings
 from quernstone.llm.html import op10_html
 from quernstone.llm.language import op5_language
-from quernstone.llm.licenses import op6_licenses
+from quernstone.llm.licenses import OP6_SQL, op6_licenses
 from quernstone.llm.minhash import op2_minhash
 from quernstone.llm.mixing import OP9_SQL, op9_mixing
 from quernstone.llm.quality import op4_quality
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_chat": OP3_SQL, "op6_licenses": OP6_SQL, "op9_mixing": OP9_SQL}
