@@ -24,6 +24,7 @@ from quernstone.llm.common import bounded_batches, checkpoint, read
 
 LEAST_CONTENTS = 5
 SUPPORT = 0.5
+HOST_BYTES = 500  # that a host takes besides its name and reference: some templates' hashes
 WRAPPER_BYTES = 24_000_000  # of wrappers that one pass over the pages takes; more are taken in blocks of hosts
 
 TOKEN = re.compile(
@@ -393,7 +394,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, least_contents: int = LE
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     order = F.struct(F.xxhash64("page_id"), F.xxhash64("html"))
     chosen = checkpoint(pages.where("html is not null").groupBy("host").agg(F.min_by("html", order).alias("html")))
-    size = chosen.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    size = chosen.agg(F.sum(F.octet_length("html") + F.octet_length("host") + HOST_BYTES)).first()[0] or 0
     blocks = max(1, -(-size // WRAPPER_BYTES))
     out = None
     for block in range(blocks):
