@@ -55,9 +55,13 @@ PARTS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "cookie", "cookies",
     "consent", "gdpr", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "sidebar", "breadcrumb",
     "breadcrumbs", "comment", "comments", "disqus", "share", "sharing", "social", "related", "pagination", "pager", "navbar",
-    "navigation", "menu", "masthead", "banner", "widget", "toolbar",
+    "navigation", "menu", "masthead", "banner", "widget", "toolbar", "commentlist", "respond", "adsense", "adsbygoogle",
+    "cookiebar", "cookiebanner", "topbar", "promoted", "sponsors",
 }
 WHOLE = {"nav", "header", "footer", "site-header", "site-footer", "page-header", "page-footer", "aside", "alert", "skip-link"}
+#: Elements whose classes tell the layout of the page: only an article that is itself a comment or advert is left out.
+FRAMES = {"html", "body", "main", "article"}
+LAYOUT = {"has", "no", "with", "without", "is"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form"}
 
 
@@ -84,7 +88,11 @@ def _skips(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             for token in value.split():
-                if token in WHOLE or not PARTS.isdisjoint(re.split(r"[-_]+", token)):
+                words = re.split(r"[-_]+", token)
+                if tag in FRAMES:
+                    if tag == "article" and (token in PARTS or token in ("comment-body", "comment-item")):
+                        return True
+                elif token in WHOLE or words[0] not in LAYOUT and not PARTS.isdisjoint(words):
                     return True
         elif name == "role" and value in ROLES:
             return True

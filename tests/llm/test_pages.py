@@ -80,7 +80,9 @@ ODD = [
     ('<p title="a > b">c</p>', "c"), ("<p title=\"open>c</p>", "c"), ("<P>&amp;lt; &#x41; &bogus; &amp</P>", "&lt; A &bogus; &"),
     ("<article></article>", ""), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<main><div>m</div></main><p>out</p>", "m"),
     ("<body><p>a</p><![CDATA[x]]><?php y ?></body>", "a\nx"), ("\0<p>é　ü</p>", "\0\né ü"),
-    ("<article>a<article>b</article>c</article>", "a\nb\nc"), ("<p>" + "w " * 100_000 + "</p>", ("w " * 100_000).strip()),
+    ("<article>a<article>b</article>c</article>", "a\nb\nc"),
+    ('<body class="menu-open"><main class="with-sidebar"><div class="has-sidebar">a</div><div class="sub-menu">b</div></main>', "a"),
+    ('<article class="post no-comments">a</article><ol class="commentlist"><li><article class="comment-body">b</article></ol>', "a"), ("<p>" + "w " * 100_000 + "</p>", ("w " * 100_000).strip()),
 ]
 
 
