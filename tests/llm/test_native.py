@@ -283,3 +283,19 @@ def test_repeat_gives_whole_and_partial_copies(spark):
         if t:
             want[r[0], r[1]] = want.get((r[0], r[1]), 0) + t
     assert words == want
+
+
+@pytest.mark.parametrize("name", ["op3_chat", "op6_licenses", "op9_mixing"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from quernstone.llm.registry import oracle_sql
+
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = con.execute(oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = queries()[name](spark, DATA)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
