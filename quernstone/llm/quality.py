@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import SPACE, STOP
-from quernstone.llm.common import bounded_batches, checkpoint, read
+from quernstone.llm.common import bounded_batches, checkpoint, read, text_md5
 
 ORDER = 5
 WIDTH = 12  # bits of a character's id in an n-gram's key
@@ -297,12 +297,16 @@ def perplexities(docs: DataFrame, model: list[DataFrame], ids: np.ndarray) -> Da
 
     A model of more than SHARD_ROWS n-grams is cut by the characters before the last; every shard is
     one pass over the documents, and their sums are added per row. Orders 1 and 2, of bounded size,
-    are in every shard.
+    are in every shard. Rows are told apart by their columns and their text's hash; what is alike in
+    all of these has the same sums, is added up together and given once for each copy, so rows need
+    no id that two passes would have to agree on.
     """
     spark = docs.sparkSession
     tables = checkpoint(reduce(DataFrame.unionByName, model))
     size = tables.count()
     shards = max(1, -(-size // SHARD_ROWS))
+    if shards > 1:
+        docs = docs.select(*[c for c in docs.columns if c != "text"], text_md5(F.col("text")).alias("_md5"), "text")
     fields = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", bits double, chars long"
     parts = []
@@ -325,7 +329,10 @@ def perplexities(docs: DataFrame, model: list[DataFrame], ids: np.ndarray) -> Da
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    return union.groupBy(*names).agg(F.sum("bits").alias("bits"), F.max("chars").alias("chars"))
+    copies = (F.count("*") / shards).cast("int")
+    sums = union.groupBy(*names).agg((F.sum("bits") / copies).alias("bits"), F.max("chars").alias("chars"), copies.alias("_copies"))
+    every = sums.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return every.select(*[n for n in names if n != "_md5"], "bits", "chars")
 
 
 def judge(
@@ -338,8 +345,8 @@ def judge(
     character, times `margin`. A language without held-out trusted text takes the limit over all
     of it; with no trusted text at all everything is kept. Null lang is a language of its own.
     Null and empty texts have a null perplexity and aren't kept.
-    Rows that repeat are judged each (in more than one shard: once per doc_id and lang). Other columns
-    are ignored; an empty table gives an empty result.
+    Rows that repeat are judged each, whatever the number of shards. Other columns are ignored; an
+    empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "lang", "text")

@@ -327,6 +327,19 @@ def test_sharded_model_gives_the_same_sums(spark, monkeypatch):
     assert one.keys() == many.keys() and all(many[i] == pytest.approx(one[i], abs=1e-6) for i in one)
 
 
+def test_sharded_model_judges_every_row(spark, monkeypatch):
+    docs = read(spark, DATA, "documents").select("doc_id", "text", "lang").limit(60)
+    texts = [r.text for r in docs.limit(6).collect()]
+    same = docs.first().doc_id
+    more = [(same, texts[0], "en"), (same, texts[0], "en"), (same, texts[1], "en")] + [(None, t, "en") for t in (*texts, texts[2], None, "")]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    trusted = docs.select("doc_id").distinct()
+    rows = lambda: sorted(((r.doc_id, r.perplexity and round(r.perplexity, 6), round(r.threshold, 6), r.keep) for r in quality.judge(docs, trusted).collect()), key=repr)
+    whole = rows()
+    monkeypatch.setattr(quality, "SHARD_ROWS", 9000)
+    assert rows() == whole and len(whole) == 72
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     rows = queries()["op4_quality"](spark, MORE).join(read(spark, MORE, "labels"), "doc_id").collect()
     good, bad = [r.keep for r in rows if r.quality == 1], [r.keep for r in rows if r.quality == 0]
