@@ -5,7 +5,7 @@ Counts of trusted texts are summed per n-gram in Spark; continuation counts, dis
 interpolated probabilities (Chen and Goodman, "An empirical study of smoothing techniques for
 language modeling", 1998) are joins and sums of those counts, sharded by n-gram. A document's
 perplexity is over all its characters; the limit is a quantile, per language, of the perplexities of
-held-out trusted documents, widened by a margin. For the decision a text's bits are averaged with a
+held-out trusted documents. For the decision a text's bits are averaged with a
 fixed number of usual characters, as a few characters are no evidence.
 """
 
@@ -26,7 +26,7 @@ ORDER = 5
 WIDTH = 12  # bits of a character's id in an n-gram's key
 LETTERS = (1 << WIDTH) - 2  # ids from 2; 1 is any rarer character, 0 the start of a text
 HELD = 5  # one in so many trusted documents sets the limits instead of training
-QUANTILE, MARGIN = 0.99, 1.25
+QUANTILE = 0.99  # of held-out clean texts, so one in a hundred is the wanted loss
 PRIOR_CHARS = 50  # a text is judged as if so many characters of its language's usual perplexity stood before it
 SHARD_ROWS = 4_000_000  # n-grams that one scoring pass holds
 BUFFER_CHARS = 1 << 19
@@ -335,14 +335,12 @@ def perplexities(docs: DataFrame, model: list[DataFrame], ids: np.ndarray) -> Da
     return every.select(*[n for n in names if n != "_md5"], "bits", "chars")
 
 
-def judge(
-    docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN
-) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every row of docs (doc_id, text, lang).
 
     `trusted` holds the doc_ids of trusted documents; all of their texts, but one in HELD by hash, train
     the model, and that one sets its language's limit: the quantile of their perplexities per
-    character, times `margin`. A language without held-out trusted text takes the limit over all
+    character. A language without held-out trusted text takes the limit over all
     of it; with no trusted text at all everything is kept. Null lang is a language of its own.
     Null and empty texts have a null perplexity and aren't kept.
     Rows that repeat are judged each, whatever the number of shards. Other columns are ignored; an
@@ -364,7 +362,7 @@ def judge(
     )
     held = scored.where(picked).join(marks, "doc_id").where("perplexity is not null")
     measures = (
-        (F.percentile_approx("perplexity", quantile, 10000) * margin).alias("limit"),
+        F.percentile_approx("perplexity", quantile, 10000).alias("limit"),
         F.percentile_approx("perplexity", 0.5, 10000).alias("usual"),
     )
     limits = held.groupBy("lang").agg(*measures).withColumnRenamed("lang", "_lang")

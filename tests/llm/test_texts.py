@@ -346,6 +346,14 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.5
 
 
+def test_quality_drops_repeated_words(spark):
+    docs = read(spark, MORE, "documents").select("doc_id", "text")
+    rows = queries()["op4_quality"](spark, MORE).join(read(spark, MORE, "labels"), "doc_id").join(docs, "doc_id").collect()
+    junk = [r.keep for r in rows if r.quality == 0 and len(r.text.split()) > 6 * len(set(r.text.split()))]
+    clean = [r.keep for r in rows if r.quality == 1 and r.toxic == 0]
+    assert len(junk) >= 8 and not any(junk) and sum(clean) / len(clean) >= 0.99
+
+
 def test_quality_of_odd_rows(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "ab ab"), (3, "ab ab"), (None, "ab"), (4, "ab " * 50_000)]).withColumn("keep", F.lit("x"))
     trusted = spark.createDataFrame([(3,), (4,), (None,), (99,)], "doc_id long")
