@@ -6,12 +6,20 @@ against uniform letters, the runs test about the median, and lag-one serial corr
 hypothesis of each is that the token is *structured*: that it departs from randomness by at least
 what words do. For chi-squared that is a noncentrality that grows with the length, for the other
 two a margin times the root of the length, so short tokens can't pass by lack of evidence. A token
-is random if all three reject (the largest of the three p-values), and Benjamini-Hochberg
-within each encoding and length band holds the share of false discoveries at `fdr`.
+is random if all three reject (the largest of the three p-values).
+
+That p-value can't get small for short tokens, so a second one stands beside it: the likelihood of
+the token as written by people (classes of characters that stay or change as in words and names,
+letters as frequent as in running text) over its likelihood as uniform letters. Where the former is
+the truth, the ratio is below p with a chance of at most p. It counts only for tokens in which the
+three statistics and repeated pairs of letters show no departure from uniform letters. The lesser of the two p-values, doubled, is
+the token's, and Benjamini-Hochberg within each encoding and length band holds the share of false
+discoveries at `fdr`.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,6 +53,16 @@ ENCODINGS = (
 )
 LETTER_COINCIDENCE = 0.0667  # chance that two letters of running text agree
 MARGIN = 0.65
+#: Per cent of a to z in English text, and the part of a letter's chance that is the same for all.
+FREQUENT = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+EVEN = 0.15
+#: Chances of the class (upper, lower, digit, sign) after each class: one that stays, and one of CamelCase names.
+STAYING = {a: {b: 0.85 if a == b else 0.05 for b in "ULDS"} for a in "ULDS"}
+NAMES = {
+    "U": {"U": 0.5, "L": 0.45, "D": 0.025, "S": 0.025}, "L": {"U": 0.1, "L": 0.78, "D": 0.06, "S": 0.06},
+    "D": {"U": 0.1, "L": 0.1, "D": 0.7, "S": 0.1}, "S": {"U": 0.25, "L": 0.5, "D": 0.15, "S": 0.1},
+}
+FAR = 3.5  # deviations from uniform letters beyond which the likelihoods don't count
 BANDS = (20, 32, 48, 64)
 STEPS = 100  # p-values are kept as steps of -log10, rounded to the cautious side
 ALPHA = 0.05
@@ -72,11 +90,36 @@ def _encoding(token: Column) -> Column:
     return whens.otherwise(F.lit("mixed"))
 
 
+def _bits(chances: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for key, p in chances.items() for x in (key, -math.log2(p))])
+
+
+def _written_bits(token: Column) -> Column:
+    """Bits of the token as written by people, by the better of the two ways of changing classes."""
+    total = sum(FREQUENT)
+    letters = {a: (1 - EVEN) * f / total + EVEN / 26 for a, f in zip(LOWER, FREQUENT)}
+    chances = letters | {a.upper(): p for a, p in letters.items()} | dict.fromkeys(DIGITS, 0.1) | dict.fromkeys("+/-_", 0.25)
+    classes = F.split(F.translate(token, UPPER + LOWER + DIGITS + "+/-_", "U" * 26 + "L" * 26 + "D" * 10 + "S" * 4), "")
+    size = F.length(token) - 1
+    steps = F.zip_with(F.slice(classes, F.lit(1), size), F.slice(classes, F.lit(2), size), lambda a, b: F.concat(a, b))
+    add = lambda xs, bits: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.element_at(bits, x))
+    ways = [add(steps, _bits({a + b: p for a, row in way.items() for b, p in row.items()})) for way in (STAYING, NAMES)]
+    return add(F.split(token, ""), _bits(chances)) + F.least(*ways) + 3.0  # one for the way, two for the first class
+
+
+def _repeats(token: Column) -> Column:
+    """Pairs of neighbouring characters that stand in the token before."""
+    letters, size = F.split(token, ""), F.length(token) - 1
+    pairs = F.zip_with(F.slice(letters, F.lit(1), size), F.slice(letters, F.lit(2), size), lambda a, b: F.concat(a, b))
+    return (size - F.size(F.array_distinct(pairs))).cast("double")
+
+
 def randomness(tokens: Column) -> Column:
-    """array<struct<s, e, stratum, step>> from array<struct<s, e, token>>.
+    """array<struct<s, e, stratum, step, best>> from array<struct<s, e, token>>.
 
     `stratum` is encoding/length band and `step` the p-value of the battery in STEPS of -log10,
-    rounded down (a larger p-value). Padding '=' isn't part of what is tested.
+    rounded down (a larger p-value); `best` is twice the lesser of that and the likelihoods' ratio.
+    Padding '=' isn't part of what is tested.
     """
     body = F.transform(tokens, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.rtrim(F.translate(c["token"], "=", " ")).alias("t")))
     coded = F.transform(body, lambda c: F.struct(c["s"], c["e"], c["t"], _encoding(c["t"]).alias("enc")))
@@ -99,6 +142,8 @@ def randomness(tokens: Column) -> Column:
                 + F.pow((F.length(c["t"]) - F.length(F.replace(c["t"], a, F.lit("")))).cast("double"), F.lit(2.0)),
             ).alias("squares"),
             F.transform(F.split(c["t"], ""), lambda x: F.instr(c["abc"], x).cast("double") - 1.0).alias("x"),
+            _written_bits(c["t"]).alias("written"),
+            _repeats(c["t"]).alias("again"),
         ),
     )
     pairs = lambda c: F.zip_with(  # noqa: E731  each character with the one before; the first with the last
@@ -115,6 +160,8 @@ def randomness(tokens: Column) -> Column:
             c["enc"],
             c["n"],
             c["k"],
+            c["written"],
+            c["again"],
             (c["squares"] * c["k"] / c["n"] - c["n"]).alias("chi"),
             total(c["x"], lambda x: x).alias("sx"),
             total(c["x"], lambda x: x * x).alias("sxx"),
@@ -146,11 +193,18 @@ def randomness(tokens: Column) -> Column:
         cut = lambda z: F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))
         p = F.greatest(p_chi, _normal_cdf(cut(z_runs - margin)), _normal_cdf(cut(z_serial - margin)), F.lit(1e-30))
         band = reduce(lambda acc, b: F.when(n >= b, F.lit(b)).otherwise(acc), BANDS[1:], F.lit(BANDS[0]))
+        step = F.floor(-F.log10(p) * STEPS).cast("int")
+        uniform = (z_runs < FAR) & (z_serial < FAR) & (c["chi"] - (k - 1.0) < F.sqrt((k - 1.0) * 2.0) * FAR)
+        usual = (n - 1.0) * (n - 2.0) / (k * k * 2.0)  # repeated pairs among uniform letters
+        uniform = uniform & (c["again"] <= usual + F.sqrt(usual) * 1.5 + 0.5)
+        ratio = F.when(uniform, F.least(F.floor((c["written"] - n * F.log2(k)) * math.log10(2) * STEPS), F.lit(3000))).otherwise(F.lit(0))
+        twice = math.ceil(math.log10(2) * STEPS)
         return F.struct(
             c["s"].alias("s"),
             c["e"].alias("e"),
             F.concat_ws("/", c["enc"], band.cast("string")).alias("stratum"),
-            F.floor(-F.log10(p) * STEPS).cast("int").alias("step"),
+            step.alias("step"),
+            (F.greatest(step, ratio.cast("int"), F.lit(twice)) - twice).alias("best"),
         )
 
     return F.transform(summed, tested)
@@ -206,7 +260,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     )
     fresh = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     found = found.select(*keep, F.array_sort("_base").alias("_base"), fresh.alias("_token"))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,stratum:string,step:int>>)")
+    none = F.expr("cast(array() as array<struct<s:int,e:int,stratum:string,step:int,best:int>>)")
     return found.select(
         *keep, "_base", F.when(F.size("_token") > 0, randomness(F.col("_token"))).otherwise(none).alias("_tests")
     )
@@ -233,10 +287,10 @@ def scan(
     found = candidates(docs, keep)
     if not rescan:
         found = checkpoint(found)
-    steps = discovery_steps(found.select(F.explode("_tests").alias("t")).select("t.stratum", "t.step"), fdr)
+    steps = discovery_steps(found.select(F.explode("_tests").alias("t")).select("t.stratum", F.col("t.best").alias("step")), fdr)
     if steps:
         least = F.create_map(*[F.lit(x) for pair in sorted(steps.items()) for x in pair])
-        random = F.filter("_tests", lambda t: F.coalesce(t["step"] >= F.try_element_at(least, t["stratum"]), F.lit(False)))
+        random = F.filter("_tests", lambda t: F.coalesce(t["best"] >= F.try_element_at(least, t["stratum"]), F.lit(False)))
     else:
         random = F.filter("_tests", lambda t: F.lit(False))
     return found.select(*keep, F.array_sort(F.concat("_base", _kind(random, 3))).alias("found"))

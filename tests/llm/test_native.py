@@ -67,6 +67,32 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert all((x.s, x.e) == (4, 44) for i in range(60) for x in spans[i])
 
 
+SHORT = {
+    "base62": string.ascii_letters + string.digits, "HEX": string.digits + "ABCDEF", "hex": string.digits + "abcdef",
+    "BASE36": string.digits + string.ascii_uppercase, "letters": string.ascii_letters,
+}
+
+
+def test_battery_finds_a_few_short_tokens_among_many_names(spark):
+    rng = random.Random(13)
+    words = "get user name file path index value token read write server client data model order list batch default update config".split()
+    styles = {
+        "lower": lambda w: "".join(w), "letters": lambda w: "".join(x.title() for x in w), "upper": lambda w: "".join(w).upper(),
+        "hex": lambda w: "".join(rng.choice(["dead", "beef", "cafe", "face", "fade", "0000", "1234"]) for _ in w),
+        "base62": lambda w: "".join(x.title() for x in w) + str(rng.randint(0, 99)), "url64": lambda w: "_".join(w).upper() + "-1",
+    }
+    names = [style([rng.choice(words) for _ in range(rng.randint(5, 7))]) for _ in range(1500) for style in styles.values()]
+    found = lambda texts: {r.doc_id for r in scans.scan(docs(spark, texts)).collect() if any(x.kind == "random" for x in r.found)}
+    lengths = {"hex": (20, 23)}
+    for size in (0, 1):
+        planted = {e: ["".join(rng.choice(abc) for _ in range(lengths.get(e, (20, 28))[size])) for _ in range(15)] for e, abc in SHORT.items()}
+        hits = found(names + [t for ts in planted.values() for t in ts])
+        caught = {e: sum(len(names) + 15 * k + i in hits for i in range(15)) for k, e in enumerate(planted)}
+        false = {s: sum(i % len(styles) == k for i in hits if i < len(names)) for k, s in enumerate(styles)}
+        spelt = false.pop("hex")  # words spelt in hex are the hardest: a group of four changes class as often as chance does
+        assert min(caught.values()) >= 10 and not any(false.values()) and spelt <= 15, (caught, false, spelt)
+
+
 def test_statistics_of_the_battery_match_plain_ones(spark):
     rng = random.Random(3)
     tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (20, 33, 64)]
