@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder's name below the shared one, with its scheme, that nothing else uses; nothing is made yet."""
+    place = _path(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return re.sub("^file:/+", "file:///", place.getFileSystem(_hadoop(spark)).makeQualified(place).toString())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever it is, with all that is in it."""
+    place = _path(spark, folder)
+    place.getFileSystem(_hadoop(spark)).delete(place, True)
+
+
+def _path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _hadoop(spark: SparkSession):
+    return spark.sparkContext._jsc.hadoopConfiguration()
+
+
 #: Ids that are broadcast at most; a hash table of so many takes some 60 MB.
 BROADCAST_IDS = 2_000_000
 

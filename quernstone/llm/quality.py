@@ -1,12 +1,20 @@
 """Quality classification by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters as they stand (white space as one space, any digit as 0), of order 5.
-Counts of trusted texts are summed per n-gram in Spark; continuation counts, discounts and
-interpolated probabilities (Chen and Goodman, "An empirical study of smoothing techniques for
-language modeling", 1998) are joins and sums of those counts, sharded by n-gram. A document's
-perplexity is over all its characters; the limit is a quantile, per language, of the perplexities of
-held-out trusted documents. For the decision a text's bits are averaged with a
-fixed number of usual characters, as a few characters are no evidence.
+The model is over characters as they stand (white space as one space, any digit as 0), of order 5
+in symbols: a code point below DIRECT is one symbol, any other is two, its upper and lower bits, so
+every character of every script is told apart. Counts of trusted texts are summed per n-gram in
+Spark; continuation counts, discounts and interpolated probabilities (Chen and Goodman, "An empirical
+study of smoothing techniques for language modeling", 1998) are joins and sums of those counts, sharded
+by n-gram.
+
+Documents are scored by joins too. A block is what one task reads. Each block's distinct n-grams are
+joined with the model's shards, and their bits are written to the shared folder, a file a block, which
+the task that scores the block reads. So an n-gram is shuffled once per block instead of once per
+document, texts aren't shuffled at all, and no row of the model passes through the driver.
+
+A document's perplexity is over all its characters; the limit is a quantile, per language, of the
+perplexities of held-out trusted documents. For the decision a text's bits are averaged with a fixed
+number of usual characters, as a few characters are no evidence.
 """
 
 from __future__ import annotations
@@ -16,22 +24,30 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.dataset
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import SPACE, STOP
-from quernstone.llm.common import bounded_batches, checkpoint, read, text_md5
+from quernstone.llm.common import bounded_batches, checkpoint, new_folder, read, remove
 
 ORDER = 5
-WIDTH = 12  # bits of a character's id in an n-gram's key
-LETTERS = (1 << WIDTH) - 2  # ids from 2; 1 is any rarer character, 0 the start of a text
+WIDTH = 12  # bits of a symbol in an n-gram's key; symbol 0 stands before a text
+DIRECT = 1984  # code points that are symbols themselves; then 1,088 upper and 1,024 lower parts of others
+LOWER = DIRECT + (0x110000 >> 10)
 HELD = 5  # one in so many trusted documents sets the limits instead of training
 QUANTILE = 0.99  # of held-out clean texts, so one in a hundred is the wanted loss
 PRIOR_CHARS = 50  # a text is judged as if so many characters of its language's usual perplexity stood before it
-SHARD_ROWS = 4_000_000  # n-grams that one scoring pass holds
 BUFFER_CHARS = 1 << 19
+BUFFER_KEYS = 2_000_000
 BROADCAST_IDS = 2_000_000
-MASK = (1 << (WIDTH * ORDER)) - 1
+
+
+def mask(k: int) -> int:
+    """Of the last k symbols of a key."""
+    return (1 << (WIDTH * k)) - 1
 
 
 @lru_cache(maxsize=1)
@@ -58,45 +74,31 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[at], at
 
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0x110000, np.int64)
-    for batch in batches:
-        for text in batch.column("text"):
-            codes, _ = normal(text.as_py() or "")
-            counts += np.bincount(codes, minlength=len(counts)) if len(codes) > 1 << 16 else 0
-            if len(codes) <= 1 << 16:
-                np.add.at(counts, codes, 1)
-    found = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found], pa.int64())], ["point", "n"])
-
-
-def alphabet(texts: DataFrame) -> np.ndarray:
-    """Id of each code point: the LETTERS most frequent ones of `texts` (all, in most scripts) have their own."""
-    rows = texts.select("text").mapInArrow(_points, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    chosen = rows.orderBy(F.col("n").desc(), "point").limit(LETTERS).select("point").collect()
-    ids = np.ones(0x110000, np.uint16)
-    ids[sorted(r[0] for r in chosen)] = np.arange(2, len(chosen) + 2)
-    return ids
-
-
-def _keys(texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the ORDER characters that end at each character, start padding 0; and where each text begins."""
+def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the ORDER symbols that end at each symbol, where each text's keys begin, and each text's characters."""
     codes, at = normal("\0".join(texts))
     bounds = np.searchsorted(at, np.cumsum([0] + [len(t) + 1 for t in texts]))
     real = codes != STOP
-    letters = ids[codes].astype(np.int64)
-    letters[~real] = 0
-    keys, depth = letters.copy(), np.zeros(len(letters), np.int64)
-    begin = np.zeros(len(letters), bool)
-    begin[bounds[:-1][bounds[:-1] < len(letters)]] = True
-    index = np.arange(len(letters))
+    chars = np.diff(np.concatenate([[0], np.cumsum(real)])[bounds])
+    wide = codes >= DIRECT
+    if wide.any():
+        twice = 1 + wide
+        place = np.concatenate([[0], np.cumsum(twice)])
+        split = np.repeat(np.where(wide, DIRECT + (codes >> 10), codes), twice)
+        split[place[1:][wide] - 1] = LOWER + (codes[wide] & 1023)
+        codes, real, bounds = split, np.repeat(real, twice), place[bounds]
+    symbols = codes.astype(np.int64)
+    symbols[~real] = 0
+    begin = np.zeros(len(symbols), bool)
+    begin[bounds[:-1][bounds[:-1] < len(symbols)]] = True
+    index = np.arange(len(symbols))
     depth = index - np.maximum.accumulate(np.where(begin, index, 0))
+    keys = symbols.copy()
     for k in range(1, ORDER):
-        before = np.zeros(len(letters), np.int64)
-        before[k:] = letters[:-k]
+        before = np.zeros(len(symbols), np.int64)
+        before[k:] = symbols[:-k]
         keys |= np.where(depth >= k, before, 0) << (WIDTH * k)
-    count = np.concatenate([[0], np.cumsum(real)])
-    return keys[real], count[bounds]
+    return keys[real], np.concatenate([[0], np.cumsum(real)])[bounds], chars
 
 
 def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -111,29 +113,37 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str
                 start, n, texts = i + 1, 0, []
 
 
-def _count(batches: Iterator[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, n): the task's n-grams and their occurrences in rows to train from; a key may come again."""
     held, size = [], 0
+    block = TaskContext.get().partitionId()
 
     def out() -> pa.RecordBatch:
         keys, n = zip(*held)
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, weights=np.concatenate(n)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
-
-    for _, texts in _buffers(batches):
-        held.append(np.unique(_keys(texts, ids)[0], return_counts=True))
-        size += len(held[-1][0])
-        if size > 2_000_000:
+        blocks = pa.array(np.full(len(keys), block), pa.int32())
+        return pa.RecordBatch.from_arrays([blocks, pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["block", "key", "n"])
+
+    for rows, texts in _buffers(batches):
+        keys, bounds, _ = _keys(texts)
+        train = np.repeat(rows.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+        distinct, at = np.unique(keys, return_inverse=True)
+        held.append((distinct, np.bincount(at, weights=train, minlength=len(distinct))))
+        size += len(distinct)
+        if size > BUFFER_KEYS:
             yield out()
             held, size = [], 0
     if held:
         yield out()
 
 
-def count_ngrams(texts: DataFrame, ids: np.ndarray) -> DataFrame:
-    """(key, n): occurrences of every run of ORDER characters in all of `texts`; tasks sum their own first."""
-    found = texts.select("text").mapInArrow(lambda it: _count(it, ids), "key long, n long")
-    return found.groupBy("key").agg(F.sum("n").alias("n"))
+def ngrams(docs: DataFrame) -> DataFrame:
+    """(block, key, n): each block's distinct runs of ORDER symbols, in all texts of docs (..., train, text), and
+    how often they stand in rows with `train`; tasks sum their own first. Checkpointed.
+    """
+    found = docs.mapInArrow(_count, "block int, key long, n long")
+    return checkpoint(found.groupBy("block", "key").agg(F.sum("n").alias("n")))
 
 
 class Discounts:
@@ -152,187 +162,115 @@ class Discounts:
         return F.when(n == 1, self.values[0]).when(n == 2, self.values[1]).otherwise(self.values[2])
 
 
-def train(texts: DataFrame, ids: np.ndarray) -> list[DataFrame]:
-    """Per order from 1: (key, p, weight): the interpolated probability of the n-gram's last character, and,
-    where the n-gram is a context, the weight that it leaves to the next lower order (else null).
+class Model:
+    """Sharded tables per order: p of (key, p), the interpolated probability of an n-gram's last symbol, and
+    weight of (key, weight), what a context of so many symbols leaves to the next lower order; floor is order 0.
+    """
+
+    def __init__(self) -> None:
+        self.p: dict[int, DataFrame] = {}
+        self.weight: dict[int, DataFrame] = {}
+        self.floor = 1.0
+
 
-    The highest order has raw counts, the others the number of different characters to their left.
+def train(counts: DataFrame) -> Model:
+    """The model of ngrams()' counts; without any, every symbol has probability 1.
+
+    The highest order has raw counts, the others the number of different symbols to their left.
     Everything is joins and sums on n-gram keys, so the tables are sharded by key at any size.
     """
-    counts = checkpoint(count_ngrams(texts, ids))
-    orders = {ORDER: counts}
+    counts = counts.where("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
+    orders = {ORDER: checkpoint(counts)}
     for k in range(ORDER - 1, 0, -1):
-        mask = (1 << (WIDTH * k)) - 1
-        lower = orders[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.count("*").alias("n"))
+        lower = orders[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask(k))).alias("key")).agg(F.count("*").alias("n"))
         orders[k] = checkpoint(lower)
-    vocabulary = orders[1].count() + 1
-    out: list[DataFrame] = []
-    weights: dict[int, DataFrame] = {}
+    of_counts: dict[int, dict[int, int]] = {k: {} for k in orders}
+    few = [table.where("n <= 4").select(F.lit(k).alias("k"), "n") for k, table in orders.items()]
+    for k, n, times in reduce(DataFrame.unionByName, few).groupBy("k", "n").count().collect():
+        of_counts[k][n] = times
+    model = Model()
+    model.floor = 1.0 / (orders[1].count() + 1)
     for k in range(1, ORDER + 1):
-        table = orders[k]
-        sizes = {r[0]: r[1] for r in table.where("n <= 4").groupBy("n").agg(F.count("*")).collect()}
-        discount = Discounts({int(a): b for a, b in sizes.items()})
-        context = F.shiftright("key", WIDTH)
-        table = table.select("key", "n", context.alias("context"), discount.of(F.col("n")).alias("d"))
+        discount = Discounts(of_counts[k])
+        table = orders[k].select("key", "n", F.shiftright("key", WIDTH).alias("context"), discount.of(F.col("n")).alias("d"))
         totals = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum(F.least("d", "n")).alias("left"))
-        totals = totals.withColumn("gamma", F.col("left") / F.col("total"))
-        weights[k - 1] = totals.select(F.col("context").alias("key"), F.col("gamma").alias("weight"))
+        totals = totals.withColumn("weight", F.col("left") / F.col("total"))
+        model.weight[k - 1] = totals.select(F.col("context").alias("key"), "weight")
         joined = table.join(totals, "context")
+        below: Column = F.lit(model.floor)
+        if k > 1:
+            lower = model.p[k - 1].select(F.col("key").alias("suffix"), F.col("p").alias("below"))
+            joined = joined.withColumn("suffix", F.col("key").bitwiseAND(F.lit(mask(k - 1)))).join(lower, "suffix")
+            below = F.col("below")
         own = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
-        if k == 1:
-            lower = F.lit(1.0 / vocabulary)
-        else:
-            mask = (1 << (WIDTH * (k - 1))) - 1
-            below = out[-1].select(F.col("key").alias("suffix"), F.col("p").alias("below"))
-            joined = joined.withColumn("suffix", F.col("key").bitwiseAND(F.lit(mask))).join(below, "suffix")
-            lower = F.col("below")
-        out.append(checkpoint(joined.select("key", (own + F.col("gamma") * lower).alias("p"))))
-    gamma0 = weights[0]
-    done = []
+        model.p[k] = checkpoint(joined.select("key", (own + F.col("weight") * below).alias("p")))
+    return model
+
+
+def resolve(keys: DataFrame, model: Model) -> DataFrame:
+    """(key, bits) for distinct keys of ORDER symbols: -log2 of the probability of the last one after the others.
+
+    Joins with each order's shards from the lowest: an n-gram's own probability, or else that of the
+    order below times the weight that its context leaves (1 if the context is unknown).
+    """
+    found = keys.select("key", F.lit(model.floor).alias("value"))
     for k in range(1, ORDER + 1):
-        table = out[k - 1]
-        if k < ORDER:
-            table = table.join(weights[k], "key", "full")
-        else:
-            table = table.withColumn("weight", F.lit(None).cast("double"))
-        done.append(table.select(F.lit(k).alias("order"), "key", "p", "weight"))
-    done.append(gamma0.select(F.lit(0).alias("order"), F.lit(0).cast("bigint").alias("key"), F.lit(1.0 / vocabulary).alias("p"), "weight"))
-    return done
-
-
-class Shard:
-    """Hash tables of the n-grams of one shard of the model; misses of all higher orders fall to lower ones."""
-
-    def __init__(self, rows: pa.Table):
-        order, key = rows.column("order").to_numpy(), rows.column("key").to_numpy()
-        p = rows.column("p").to_numpy(zero_copy_only=False).astype(np.float64)
-        w = rows.column("weight").to_numpy(zero_copy_only=False).astype(np.float64)
-        self.tables = {}
-        for k in range(ORDER + 1):
-            mine = order == k
-            self.tables[k] = self._table(key[mine], p[mine], w[mine])
-
-    @staticmethod
-    def _table(key: np.ndarray, p: np.ndarray, w: np.ndarray) -> tuple:
-        bits = max(4, int(np.ceil(np.log2(len(key) + 1))) + 1)
-        slots = np.full(1 << bits, -1, np.int64)
-        at = np.zeros(1 << bits, np.int32)
-        todo = np.arange(len(key))
-        place = Shard._hash(key, bits)
-        while len(todo):
-            free = slots[place] == -1
-            first = np.zeros(len(todo), bool)
-            first[np.unique(place, return_index=True)[1]] = True
-            put = free & first
-            slots[place[put]], at[place[put]] = key[todo[put]], todo[put]
-            todo, place = todo[~put], (place[~put] + 1) & ((1 << bits) - 1)
-        with np.errstate(divide="ignore"):
-            log_p, log_w = np.log2(p), np.log2(w)
-        return bits, slots, at, log_p, np.where(np.isnan(log_w), 0.0, log_w)
-
-    @staticmethod
-    def _hash(key: np.ndarray, bits: int) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def find(self, k: int, key: np.ndarray) -> np.ndarray:
-        """Place of each key in order k's arrays, -1 where it is unknown."""
-        bits, slots, at = self.tables[k][:3]
-        place = self._hash(key, bits)
-        out = np.full(len(key), -1, np.int64)
-        held = slots[place]
-        hit = held == key
-        out[hit] = at[place[hit]]
-        todo = np.flatnonzero(~hit & (held != -1))
-        while len(todo):
-            place[todo] = (place[todo] + 1) & ((1 << bits) - 1)
-            held = slots[place[todo]]
-            hit = held == key[todo]
-            out[todo[hit]] = at[place[todo[hit]]]
-            todo = todo[~hit & (held != -1)]
-        return out
-
-    def bits(self, keys: np.ndarray) -> np.ndarray:
-        """-log2 of the probability of each key's last character after the others."""
-        out = np.zeros(len(keys))
-        todo = np.arange(len(keys))
-        for k in range(ORDER, 0, -1):
-            mask = (1 << (WIDTH * k)) - 1
-            found = self.find(k, keys[todo] & mask)
-            log_p = self.tables[k][3]
-            known = found >= 0
-            known[known] = ~np.isnan(log_p[found[known]])
-            out[todo[known]] -= log_p[found[known]]
-            todo = todo[~known]
-            if not len(todo):
-                return out
-            context = (keys[todo] & mask) >> WIDTH
-            place = self.find(k - 1, context)
-            log_w = self.tables[k - 1][4]
-            out[todo[place >= 0]] -= log_w[place[place >= 0]]
-        out[todo] -= self.tables[0][3][0] if len(self.tables[0][3]) else 0.0
-        return out
-
-
-def _score(batches: Iterator[pa.RecordBatch], ids: np.ndarray, shard: object, number: int, shards: int) -> Iterator[pa.RecordBatch]:
-    model = shard.value
+        suffix = F.col("key").bitwiseAND(F.lit(mask(k)))
+        found = found.select("key", "value", suffix.alias("suffix"), F.shiftright(suffix, WIDTH).alias("context"))
+        own, left = model.p[k].withColumnRenamed("key", "suffix"), model.weight[k - 1].withColumnRenamed("key", "context")
+        if k == 1:  # 4,096 symbols at most, and one empty context
+            own, left = F.broadcast(own), F.broadcast(left)
+        elif k == 2:
+            left = F.broadcast(left)
+        found = found.join(own, "suffix", "left").join(left, "context", "left")
+        found = found.select("key", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("value")).alias("value"))
+    return found.select("key", (-F.log2("value")).alias("bits"))
+
+
+def _block_bits(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+    files, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
+    rows = pyarrow.dataset.dataset(path, filesystem=files, format="parquet").to_table(columns=["key", "bits"])
+    key, bits = rows.column("key").to_numpy(), rows.column("bits").to_numpy()
+    order = np.argsort(key, kind="stable")
+    return key[order], bits[order]
+
+
+def _score(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    known = None
     for batch, texts in _buffers(batches):
-        keys, bounds = _keys(texts, ids)
-        mine = np.ones(len(keys), bool) if shards == 1 else shard_of(keys, shards) == number
-        bits = np.zeros(len(keys))
-        bits[mine] = model.bits(keys[mine])
+        keys, bounds, chars = _keys(texts)
+        bits = np.zeros(0)
+        if len(keys):
+            if known is None:
+                known = _block_bits(folder, TaskContext.get().partitionId())
+            distinct, which = np.unique(keys, return_inverse=True)
+            at = np.minimum(np.searchsorted(known[0], distinct), len(known[0]) - 1)
+            if not np.array_equal(known[0][at], distinct):
+                raise RuntimeError("a partition of the documents holds other texts than when its n-grams were taken")
+            bits = known[1][at][which]
         total = np.concatenate([[0.0], np.cumsum(bits)])
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(total[bounds[1:]] - total[bounds[:-1]]), pa.array(np.diff(bounds), pa.int64())],
+            [*batch.columns[:-1], pa.array(total[bounds[1:]] - total[bounds[:-1]]), pa.array(chars, pa.int64())],
             [*batch.schema.names[:-1], "bits", "chars"],
         )
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By the two characters before the last: all that a lookup of order 3 and above needs is in one shard."""
-    return (((keys >> WIDTH) & ((1 << (2 * WIDTH)) - 1)) * 2654435761 >> 7) % shards
+def perplexities(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` (keys..., train, text) with bits and chars instead of text, and the folder that it reads.
 
-
-def perplexities(docs: DataFrame, model: list[DataFrame], ids: np.ndarray) -> DataFrame:
-    """`docs` (keys..., text last) with bits and chars instead of text; a text without characters has 0 and 0.
-
-    A model of more than SHARD_ROWS n-grams is cut by the characters before the last; every shard is
-    one pass over the documents, and their sums are added per row. Orders 1 and 2, of bounded size,
-    are in every shard. Rows are told apart by their columns and their text's hash; what is alike in
-    all of these has the same sums, is added up together and given once for each copy, so rows need
-    no id that two passes would have to agree on.
+    The model is trained from the rows with `train`. Every row is scored by itself, so repeated rows and
+    null keys stay as they are; a text without characters has 0 and 0. The blocks are the partitions of
+    `docs`, which is read twice by the same plan; if a partition held other texts the second time, the
+    job would fail, not score wrongly. A task that is run again reads the same file. The caller removes
+    the folder after the last read.
     """
-    spark = docs.sparkSession
-    tables = checkpoint(reduce(DataFrame.unionByName, model))
-    size = tables.count()
-    shards = max(1, -(-size // SHARD_ROWS))
-    if shards > 1:
-        docs = docs.select(*[c for c in docs.columns if c != "text"], text_md5(F.col("text")).alias("_md5"), "text")
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", bits double, chars long"
-    parts = []
-    for number in range(shards):
-        rows = tables
-        if shards > 1:
-            middle = F.when(F.col("order") >= 3, F.shiftright("key", WIDTH))
-            as_context = F.col("key")
-            code = lambda c: F.pmod(F.shiftright(c.bitwiseAND(F.lit((1 << (2 * WIDTH)) - 1)) * F.lit(2654435761), 7), F.lit(shards))
-            rows = tables.where(
-                (F.col("order") <= 2) | (code(middle) == number) | ((F.col("order") >= 2) & (code(as_context) == number))
-            )
-        held = spark.sparkContext.broadcast(Shard(rows.toArrow()))
-        parts.append(
-            docs.mapInArrow(lambda it, held=held, number=number: _score(it, ids, held, number, shards), schema)
-        )
-    if shards == 1:
-        return parts[0]
-    names = [f.name for f in fields]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    copies = (F.count("*") / shards).cast("int")
-    sums = union.groupBy(*names).agg((F.sum("bits") / copies).alias("bits"), F.max("chars").alias("chars"), copies.alias("_copies"))
-    every = sums.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return every.select(*[n for n in names if n != "_md5"], "bits", "chars")
+    found = ngrams(docs)
+    bits = resolve(found.select("key").distinct(), train(found))
+    folder = new_folder(docs.sparkSession, "ngrams")
+    answers = found.select("block", "key").join(bits, "key").repartition("block").sortWithinPartitions("block", "key")
+    answers.write.partitionBy("block").parquet(folder)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    return docs.mapInArrow(lambda it: _score(it, folder), f"{fields}, bits double, chars long"), folder
 
 
 def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -343,24 +281,22 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> Da
     character. A language without held-out trusted text takes the limit over all
     of it; with no trusted text at all everything is kept. Null lang is a language of its own.
     Null and empty texts have a null perplexity and aren't kept.
-    Rows that repeat are judged each, whatever the number of shards. Other columns are ignored; an
-    empty table gives an empty result.
+    Rows that repeat are judged each. Other columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "lang", "text")
     picked = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0
     marks = checkpoint(trusted.where("doc_id is not null").select("doc_id").distinct())
-    if marks.count() <= BROADCAST_IDS:  # else the texts are shuffled to the ids
-        marks = F.broadcast(marks)
-    texts = docs.join(marks, "doc_id").where("text is not null").where(~picked).select("text")
-    ids = alphabet(texts)
-    model = train(texts, ids)
-    scored = perplexities(docs, model, ids)
+    few = marks.count() <= BROADCAST_IDS  # else the texts are shuffled to the ids
+    marks = marks.withColumn("trusted", F.lit(True))
+    docs = docs.join(F.broadcast(marks) if few else marks, "doc_id", "left")
+    marked = F.coalesce("trusted", F.lit(False))
+    scored, folder = perplexities(docs.select("doc_id", "lang", marked.alias("trusted"), (marked & ~picked).alias("train"), "text"))
     average = F.col("bits") / F.col("chars")
-    scored = checkpoint(
-        scored.select("doc_id", "lang", F.when(F.col("chars") > 0, F.pow(F.lit(2.0), average)).alias("perplexity"), "bits", "chars")
-    )
-    held = scored.where(picked).join(marks, "doc_id").where("perplexity is not null")
+    perplexity = F.when(F.col("chars") > 0, F.pow(F.lit(2.0), average)).alias("perplexity")
+    scored = checkpoint(scored.select("doc_id", "lang", "trusted", perplexity, "bits", "chars"))
+    remove(docs.sparkSession, folder)
+    held = scored.where(picked).where("trusted and perplexity is not null")
     measures = (
         F.percentile_approx("perplexity", quantile, 10000).alias("limit"),
         F.percentile_approx("perplexity", 0.5, 10000).alias("usual"),
