@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import secrets
-import shutil
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.files import remove
 from quernstone.problems import Problem, QueryError
 from quernstone.store import State
 from quernstone.types import READABLE, STORED, Type
@@ -89,10 +89,13 @@ def table_request(body: Any) -> tuple[str, list[tuple[str, Type]]]:
 
 
 class Catalog:
-    """Tables by name in a state file below `root`; rows as zstd Parquet in folders beside it."""
+    """Tables by name in a state file below `root`, a folder of the driver; rows as zstd Parquet below `data`.
 
-    def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(root)
+    `data` is a folder of any file system that all executors reach; where it is not given, it is `root`.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | Path, data: str = ""):
+        self.spark, self.root, self.data = spark, Path(root), data or str(root)
         self.state = State(self.root / "catalog.json")
 
     @staticmethod
@@ -134,7 +137,7 @@ class Catalog:
             del state[table.name]
             self.state.write(state)
             if table.physical is None and table.location:
-                shutil.rmtree(table.location, ignore_errors=True)
+                remove(self.spark, table.location)
             return True
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -142,17 +145,17 @@ class Catalog:
         table = self.by_name(name)
         if table is None:
             raise QueryError(Problem("Table not found", name))
-        location = self.root / "tables" / table.id
-        part = location / f"part-{new_id()}"
+        location = f"{self.data}/tables/{table.id}"
+        part = f"{location}/part-{new_id()}"
         try:
-            rows.write.option("compression", "zstd").parquet(str(part))
+            rows.write.option("compression", "zstd").parquet(part)
             with self.state.lock:
                 state = self.state.read()
                 if state.get(name, {}).get("id") != table.id:
                     raise QueryError(Problem("Table not found", name))
-                state[name]["location"] = str(location)
-                state[name]["files"].append(str(part))
+                state[name]["location"] = location
+                state[name]["files"].append(part)
                 self.state.write(state)
         except BaseException:
-            shutil.rmtree(part, ignore_errors=True)
+            remove(self.spark, part)
             raise

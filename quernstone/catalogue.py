@@ -5,9 +5,8 @@ Each comes with names for its result columns and with DuckDB SQL that gives the
 
 from __future__ import annotations
 
-import csv
+import json
 import tempfile
-import uuid
 from collections.abc import Callable
 from functools import partial
 from pathlib import Path
@@ -16,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.engine import Engine
-from quernstone.operators.statistics import byte_frequency, mean
+from quernstone.files import scratch
+from quernstone.operators.statistics import byte_frequency, mean, table_statistics
+from quernstone.operators.validation import differences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,17 +44,15 @@ def fn(name: str, *arguments: dict) -> dict:
     return {"functionName": name, "arguments": list(arguments)}
 
 
-def scratch(spark: SparkSession) -> Path:
-    """A new folder below the cluster's shared one, or in local mode in the temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://")
-    root = Path(shared) if shared else Path(tempfile.gettempdir())
-    folder = root / f"quernstone-{uuid.uuid4().hex}"
-    folder.mkdir(parents=True)
-    return folder
+def new_engine(spark: SparkSession) -> Engine:
+    """An engine whose rows are in a shared scratch folder; its state is there too where the driver can open that."""
+    data = scratch(spark)
+    local = data.startswith("file:")
+    return Engine(spark, Path(data.removeprefix("file:")) if local else Path(tempfile.mkdtemp(prefix="quernstone-state-")), data=data)
 
 
 def engine_over(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
-    engine = Engine(spark, scratch(spark))
+    engine = new_engine(spark)
     for table in tables:
         engine.catalog.attach(table, f"{sf_dir}/{table}.parquet")
     return engine
@@ -191,9 +190,9 @@ def copied(spark: SparkSession, sf_dir: str, times: int = 1, separator: str = ",
     """An engine whose table `copied` holds the orders, written as CSV and copied `times` times."""
     from quernstone.api import Api
 
-    engine = Engine(spark, scratch(spark))
+    engine = new_engine(spark)
     order = list(destination or COPIED)
-    path = str(engine.root / "orders.csv")
+    path = f"{engine.data}/orders.csv"
     spark.read.parquet(f"{sf_dir}/orders.parquet").select(*order).write.csv(path, header=True, sep=separator)
     api = Api(engine)
     problems = [api.put_table({"name": "copied", "columns": COPIED_COLUMNS})]
@@ -241,11 +240,18 @@ QUERIES |= {"result_fetch": result_query, "result_row_limit": partial(result_que
 SQL |= {"result_fetch": RESULT_SQL.format(500), "result_row_limit": RESULT_SQL.format(20)}
 
 
+def lines_file(engine: Engine, name: str, lines: list[str]) -> str:
+    """A CSV file of these lines among the engine's data."""
+    path = f"{engine.data}/{name}.csv"
+    engine.spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.text(path)
+    return path
+
+
 def lifecycle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The routes' status codes over the life of a table, its queries and their results."""
     from quernstone.api import Api
 
-    engine = Engine(spark, scratch(spark))
+    engine = new_engine(spark)
     api = Api(engine)
     steps: list[tuple[str, int]] = []
 
@@ -259,11 +265,8 @@ def lifecycle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     step("create_bool", api.put_table({"name": "b", "columns": [{"name": "x", "type": "BOOL"}]}))
     step("describe", api.get_table(table_id))
     step("describe_unknown", api.get_table("1"))
-    good, bad = engine.root / "good.csv", engine.root / "bad.csv"
-    for path, rows in ((good, ["1", "2"]), (bad, ["1", "x"])):
-        with path.open("w", newline="") as file:
-            csv.writer(file).writerows([r] for r in rows)
-    copy = lambda path: {"queryDefinition": {"sourceFilepath": str(path), "destinationTableName": "t"}}
+    good, bad = lines_file(engine, "good", ["1", "2"]), lines_file(engine, "bad", ["1", "x"])
+    copy = lambda path: {"queryDefinition": {"sourceFilepath": path, "destinationTableName": "t"}}
     step("copy", api.post_query(copy(good)))
     step("copy_bad", api.post_query(copy(bad)))
     failed = [q["queryId"] for q in api.get_queries()[1] if q["status"] == "FAILED"][0]
@@ -307,5 +310,139 @@ SQL["describe"] = (
 )
 
 
+def table_statistics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_statistics(spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+PART = (("p_partkey", "p_size"), ("p_name", "p_brand", "p_type"))
+QUERIES["table_statistics"] = table_statistics_query
+SQL["table_statistics"] = " UNION ALL ".join(
+    [f"SELECT '{c}' AS column_name, CAST(NULL AS BIGINT) AS byte, count({c}) AS n, avg({c}) AS mean FROM part" for c in PART[0]]
+    + [f"SELECT '{c}', CAST('0x' || pair AS BIGINT), count(*), CAST(NULL AS DOUBLE) FROM "
+       f"(SELECT unnest(regexp_extract_all(hex(encode({c})), '..')) AS pair FROM part) GROUP BY pair" for c in PART[1]]
+)
+
+
+def validate_equal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between orders and the table that its CSV was copied to: nothing."""
+    source = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*COPIED)
+    return differences(source, copy_query(spark, sf_dir))
+
+
+def validate_different_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between orders and a version of it with a changed status, a renamed column and rows taken out."""
+    source = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*COPIED)
+    status = F.when(F.col("o_orderkey") == 7, "?").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")
+    changed = source.where("o_custkey <> 5").select("o_orderkey", F.col("o_custkey").alias("customer"), status, "o_orderpriority")
+    return differences(source, changed)
+
+
+QUERIES |= {"validate_equal": validate_equal_query, "validate_different": validate_different_query}
+VALUES = "has different values"
+_CHANGED = (
+    "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = 7 THEN '?' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority "
+    "FROM orders WHERE o_custkey <> 5"
+)
+_ROW = "SELECT CAST({} AS INTEGER) AS place, '{}' AS column_name, '{}' AS problem"
+SQL["validate_equal"] = _ROW.format(0, "", "") + " WHERE false"
+SQL["validate_different"] = " UNION ALL ".join(
+    [_ROW.format(1, "o_custkey", "expected name o_custkey but received customer")]
+    + [_ROW.format(-1, "", "tables have different numbers of rows") + f" WHERE (SELECT count(*) FROM orders) <> (SELECT count(*) FROM ({_CHANGED}))"]
+    + [_ROW.format(-1, "", "rows differ") + f" WHERE EXISTS (SELECT {', '.join(COPIED)} FROM orders EXCEPT ALL ({_CHANGED}))"]
+    + [_ROW.format(i, c, VALUES) + f" WHERE EXISTS (SELECT {c} FROM orders EXCEPT ALL SELECT {c} FROM ({_CHANGED})) "
+       f"OR EXISTS (SELECT {c} FROM ({_CHANGED}) EXCEPT ALL SELECT {c} FROM orders)" for i, c in enumerate(COPIED)]
+)
+
+
+def copy_short_row_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COPY of files with a short or a long row, into tables as wide as the file and narrower: status codes and stored rows."""
+    from quernstone.api import Api
+
+    engine = new_engine(spark)
+    api = Api(engine)
+    out = []
+    for width in (3, 2):
+        columns = [{"name": n, "type": k} for n, k in (("id", "INT64"), ("note", "VARCHAR"), ("more", "VARCHAR"))][:width]
+        for name, lines in (("even", ["1,x,y", "2,v,w"]), ("short", ["1,x,y", "2", "3,z,w"]), ("long", ["1,x,y", "2,v,w,u"])):
+            table = f"{name}{width}"
+            api.put_table({"name": table, "columns": columns})
+            status, _ = api.post_query({"queryDefinition": {"sourceFilepath": lines_file(engine, table, lines), "destinationTableName": table}})
+            out.append((name, width, status, engine.select({"columnClauses": [of(table, "id")]}).count()))
+    return spark.createDataFrame(out, "file string, width long, status long, stored long")
+
+
+def copy_no_header_destination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COPY of a file without a header whose columns are named by destinationColumns, in another order."""
+    from quernstone.api import Api
+
+    engine = new_engine(spark)
+    api = Api(engine)
+    api.put_table({"name": "t", "columns": [{"name": "id", "type": "INT64"}, {"name": "note", "type": "VARCHAR"}]})
+    definition = {"sourceFilepath": lines_file(engine, "t", ["x,11", "y,22"]), "destinationTableName": "t", "destinationColumns": ["note", "id"]}
+    if api.post_query({"queryDefinition": definition})[0] != 200:
+        raise RuntimeError("the copy failed")
+    return engine.select({"columnClauses": [of("t", "id"), of("t", "note")]}).toDF("id", "note")
+
+
+def bodies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of replies as JSON: results by column, job records, stored errors, and what type checks and limits report."""
+    from quernstone.api import Api
+
+    engine = engine_over(spark, sf_dir, "region")
+    api = Api(engine)
+    out: list[tuple[str, str]] = []
+
+    def note(name: str, reply: tuple, query_id: str = "") -> None:
+        text = json.dumps(reply[1], sort_keys=True)
+        out.append((name, text.replace(query_id, "ID") if query_id else text))
+
+    key, name = of("region", "r_regionkey"), of("region", "r_name")
+    definition = {"columnClauses": [key, name], "orderByClause": [{"columnIndex": 0}], "limitClause": {"limit": 2}}
+    query_id = api.post_query({"queryDefinition": definition})[1]
+    note("record", api.get_query(query_id), query_id)
+    note("result", api.get_result(query_id, {"flushResult": True}))
+    note("flushed", api.get_result(query_id))
+    for what, bad in (
+        ("type_add", {"columnClauses": [op("ADD", name, lit(1))]}),
+        ("type_where", {"columnClauses": [key], "whereClause": key}),
+        ("type_function", {"columnClauses": [fn("STRLEN", key)]}),
+        ("order_outside", {"columnClauses": [key], "orderByClause": [{"columnIndex": 3}]}),
+        ("limit_negative", {"columnClauses": [key], "limitClause": {"limit": -1}}),
+        ("limit_text", {"columnClauses": [key], "limitClause": {"limit": "x"}}),
+    ):
+        note(what, api.post_query({"queryDefinition": bad}))
+    failed = [q["queryId"] for q in api.get_queries()[1] if q["status"] == "FAILED"]
+    note("error", api.get_error(failed[0]))
+    return spark.createDataFrame(out, "step string, body string")
+
+
+QUERIES |= {"copy_short_row": copy_short_row_query, "copy_no_header_destination": copy_no_header_destination_query, "bodies": bodies_query}
+SQL["copy_short_row"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', CAST({w} AS BIGINT), CAST({s} AS BIGINT), CAST({r} AS BIGINT))"
+    for w in (3, 2) for n, s, r in (("even", 200, 2), ("short", 400, 0), ("long", 400, 0))
+) + ") t(file, width, status, stored)"
+_RECORD = (
+    '{"isResultAvailable": true, "queryDefinition": {"columnClauses": [{"columnName": "r_regionkey", "tableName": "region"}, '
+    '{"columnName": "r_name", "tableName": "region"}], "limitClause": {"limit": 2}, "orderByClause": [{"columnIndex": 0}]}, '
+    '"queryId": "ID", "status": "COMPLETED"}'
+)
+_REFUSED = '{{"problems": [{{"context": "{}", "error": "{}"}}]}}'
+_ADD = _REFUSED.format("columnClauses[0]", "ADD takes INT64 values, not VARCHAR and INT64")
+BODIES = (
+    ("record", _RECORD),
+    ("result", '[{"columns": [[0, 1], ["AFRICA", "AMERICA"]], "rowCount": 2}]'),
+    ("flushed", '{"message": "Result of this query is not available"}'),
+    ("type_add", _ADD),
+    ("type_where", _REFUSED.format("whereClause", "WHERE must be BOOL")),
+    ("type_function", _REFUSED.format("columnClauses[0]", "STRLEN takes (VARCHAR), not (INT64)")),
+    ("order_outside", _REFUSED.format("orderByClause[0]", "ORDER BY index 3 is not among the projections")),
+    ("limit_negative", _REFUSED.format("limitClause", "limit must be a non-negative 32-bit integer")),
+    ("limit_text", _REFUSED.format("limitClause", "limit must be a non-negative 32-bit integer")),
+    ("error", _ADD),
+)
+SQL["bodies"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{b}')" for n, b in BODIES) + ") t(step, body)"
+SQL["copy_no_header_destination"] = "SELECT * FROM (VALUES (CAST(11 AS BIGINT), 'x'), (CAST(22 AS BIGINT), 'y')) t(id, note)"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_select(spark, sf_dir, tables=("orders",), names=FLAGSHIP_NAMES, definition=FLAGSHIP)

@@ -7,7 +7,6 @@ result never passes through the driver unless a client asks for all of it.
 from __future__ import annotations
 
 import logging
-import shutil
 from concurrent.futures import Future, ThreadPoolExecutor
 from enum import Enum
 from pathlib import Path
@@ -16,6 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.catalog import Catalog, new_id
+from quernstone.files import remove
 from quernstone.operators.select import build
 from quernstone.plans.select import Plan, Select, parse_select, resolve, table_of
 from quernstone.problems import Problem, QueryError
@@ -63,9 +63,11 @@ def problem_of(error: Exception) -> list[Problem]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | Path, workers: int = 4):
-        self.spark, self.root = spark, Path(root)
-        self.catalog = Catalog(spark, self.root)
+    """State is kept in `root`, a folder of the driver; rows are in `data` (by default the same), on any file system."""
+
+    def __init__(self, spark: SparkSession, root: str | Path, workers: int = 4, data: str = ""):
+        self.spark, self.root, self.data = spark, Path(root), data or str(root)
+        self.catalog = Catalog(spark, self.root, self.data)
         self.queries = State(self.root / "queries.json")
         self.errors = State(self.root / "errors.json")
         self.pool = ThreadPoolExecutor(workers, thread_name_prefix="quernstone-query")
@@ -123,8 +125,8 @@ class Engine:
         self._set(query_id, kind=kind, status=Status.CREATED.value, definition=definition)
         return query_id, self.pool.submit(self._run, query_id, kind, definition)
 
-    def _result(self, query_id: str) -> Path:
-        return self.root / "results" / query_id
+    def _result(self, query_id: str) -> str:
+        return f"{self.data}/results/{query_id}"
 
     def _run(self, query_id: str, kind: str, definition: dict[str, Any]) -> list[Problem]:
         try:
@@ -135,7 +137,7 @@ class Engine:
             else:
                 plan = self.plan(definition)
                 self._set(query_id, status=Status.RUNNING.value, order=[list(o) for o in plan.order])
-                self.dataframe(plan).write.option("compression", "zstd").parquet(str(self._result(query_id)))
+                self.dataframe(plan).write.option("compression", "zstd").parquet(self._result(query_id))
             self._set(query_id, status=Status.COMPLETED.value, result=kind == "SELECT")
             return []
         except Exception as error:  # every failure is a state of the query, told to the client
@@ -144,7 +146,7 @@ class Engine:
             with self.errors.lock:
                 self.errors.write(self.errors.read() | {query_id: [p.to_json() for p in problems]})
             self._set(query_id, status=Status.FAILED.value)
-            shutil.rmtree(self._result(query_id), ignore_errors=True)
+            remove(self.spark, self._result(query_id))
             return problems
 
     def query(self, query_id: str) -> dict[str, Any] | None:
@@ -158,13 +160,13 @@ class Engine:
         record = self.query(query_id) or {}
         if not record.get("result"):
             raise QueryError("Result of this query is not available")
-        rows = self.spark.read.parquet(str(self._result(query_id)))
+        rows = self.spark.read.parquet(self._result(query_id))
         order = [rows[f"c{i}"].asc() if up else rows[f"c{i}"].desc() for i, up in record.get("order", [])]
         rows = rows.orderBy(*order) if order else rows
         return rows.limit(row_limit) if row_limit and row_limit > 0 else rows
 
     def flush(self, query_id: str) -> None:
-        shutil.rmtree(self._result(query_id), ignore_errors=True)
+        remove(self.spark, self._result(query_id))
         self._set(query_id, result=False)
 
 

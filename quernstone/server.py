@@ -14,7 +14,9 @@ from quernstone.problems import QueryError, problems_json
 from quernstone.session import session
 
 
-def route(api: Api, method: str, path: str, body: bytes) -> Reply:
+def route(api: Api, method: str, path: str, body: bytes, wait: bool = True) -> Reply:
+    """The reply to a request; with wait=False a query's id comes at once and the client polls it."""
+
     def given() -> Any:
         return api.parse(body)
 
@@ -23,7 +25,7 @@ def route(api: Api, method: str, path: str, body: bytes) -> Reply:
         ("GET", "/queries"): api.get_queries,
         ("GET", "/system/info"): api.system_info,
         ("PUT", "/table"): lambda: api.put_table(given()),
-        ("POST", "/query"): lambda: api.post_query(given()),
+        ("POST", "/query"): lambda: api.post_query(given(), wait),
     }
     keyed = {
         ("GET", "table"): api.get_table,
@@ -48,7 +50,8 @@ def serve(api: Api, port: int = 8080, host: str = "0.0.0.0") -> ThreadingHTTPSer
         def answer(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             try:
-                status, reply = route(api, self.command, self.path, body)
+                wait = "respond-async" not in (self.headers.get("Prefer") or "")
+                status, reply = route(api, self.command, self.path, body, wait)
             except QueryError as error:
                 status, reply = (404 if self.path.startswith("/result/") else 400), problems_json(error.problems)
             data = b"" if reply == "" else json.dumps(reply, ensure_ascii=False).encode()
@@ -70,8 +73,9 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--root", default="quernstone-data")
     parser.add_argument("--port", type=int, default=8080)
+    parser.add_argument("--data", default="", help="folder for rows that all executors share; by default the root")
     given = parser.parse_args()
-    serve(Api(Engine(session(), given.root)), given.port).serve_forever()
+    serve(Api(Engine(session(), given.root, data=given.data)), given.port).serve_forever()
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.files import exists
 from quernstone.problems import Problem, QueryError
 from quernstone.types import Type
 
@@ -24,20 +25,13 @@ class Layout:
     multiline: bool
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(files.globStatus(place))
-
-
 def sniff(spark: SparkSession, path: str, header: bool) -> Layout:
     """Separator (`;` where the first line that isn't empty has more of them than commas), columns, newlines.
 
     A line with an odd number of quotes means a cell with a newline in it; only then is a file read
     as a whole, else it is split among tasks at any line.
     """
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise QueryError(Problem("The file at this path does not exist", path))
     lines = spark.read.text(path)
     first = lines.where(F.length("value") > 0).first()
@@ -92,14 +86,14 @@ def read_cells(
 ) -> DataFrame:
     """The file as columns f0, f1, ... in the table's order and types, in one pass and without a shuffle.
 
-    Rows with fewer or more cells than the first end the job, as does a bad cell. An empty file
-    has no rows.
+    Rows with fewer or more cells than the first end the job, as does a bad cell. All cells are parsed
+    for that, also those that the table doesn't take. An empty file has no rows.
     """
     layout = sniff(spark, path, header)
     places = mapping(layout, table, header, destination or [])
     if not layout.names:
         return spark.createDataFrame([], T.StructType([T.StructField(f"f{i}", k.spark) for i, (_, k) in enumerate(table)]))
-    cells = spark.read.schema(T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(layout.names))])).csv(
+    cells = spark.read.option("columnPruning", False).schema(T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(layout.names))])).csv(
         path, header=header, sep=layout.separator, quote='"', escape='"', multiLine=layout.multiline, mode="FAILFAST",
         nullValue=NO_NULL, emptyValue="",
     )

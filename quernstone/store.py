@@ -1,4 +1,4 @@
-"""Small JSON state files: read whole, replaced atomically; a missing or broken file is empty."""
+"""Small JSON state files: read whole, replaced atomically; a missing or broken file is empty, and a broken one is set aside."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import logging
 import os
 import tempfile
 import threading
+import time
 from pathlib import Path
 from typing import Any
 
@@ -24,11 +25,23 @@ class State:
         except FileNotFoundError:
             return {}
         except ValueError:
-            log.error("state file %s is broken and counts as empty", self.path)
-            return {}
-        return found if isinstance(found, dict) else {}
+            found = None
+        if isinstance(found, dict):
+            return found
+        log.error("state file %s is broken and counts as empty", self.path)
+        return {}
+
+    def _broken(self) -> bool:
+        try:
+            return not isinstance(json.loads(self.path.read_text()), dict)
+        except FileNotFoundError:
+            return False
+        except ValueError:
+            return True
 
     def write(self, content: dict[str, Any]) -> None:
+        if self._broken():
+            os.replace(self.path, self.path.with_name(f"{self.path.name}.broken-{time.time_ns()}"))
         handle, name = tempfile.mkstemp(dir=self.path.parent, prefix=self.path.name)
         with os.fdopen(handle, "w") as file:
             json.dump(content, file)

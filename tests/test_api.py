@@ -2,11 +2,14 @@
 
 import json
 import threading
+import time
 import urllib.error
 import urllib.request
 
 import pytest
 
+from quernstone.types import Type
+
 from quernstone.catalogue import col, lit, of, op
 
 
@@ -195,9 +198,9 @@ def test_http(api, tmp_path):
     server = serve(api, 0, "127.0.0.1")
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
-    def call(method, path, body=None):
+    def call(method, path, body=None, **headers):
         data = body if isinstance(body, bytes) or body is None else json.dumps(body).encode()
-        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", data, method=method)
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", data, headers, method=method)
         try:
             with urllib.request.urlopen(request) as reply:
                 text = reply.read()
@@ -218,4 +221,22 @@ def test_http(api, tmp_path):
     assert {"interfaceVersion", "version", "author", "uptime"} <= set(info)
     assert call("DELETE", f"/table/{table_id}") == (200, "") and call("GET", "/nothing")[0] == 404
     assert len(call("GET", "/queries")[1]) == 2
+    status, late = call("POST", "/query", select(of("u", "id")), Prefer="respond-async")
+    assert status == 200
+    for _ in range(100):
+        state = call("GET", f"/query/{late}")[1]["status"]
+        if state in ("COMPLETED", "FAILED"):
+            break
+        time.sleep(0.1)
+    assert state == "FAILED" and "problems" in call("GET", f"/error/{late}")[1]
     server.shutdown()
+
+
+def test_broken_state_is_set_aside(engine):
+    engine.catalog.create("t", [("id", Type.INT64)])
+    engine.catalog.state.path.write_text("{broken")
+    assert engine.catalog.tables() == []
+    engine.catalog.create("u", [("id", Type.INT64)])
+    assert [t.name for t in engine.catalog.tables()] == ["u"]
+    aside = list(engine.root.glob("catalog.json.broken-*"))
+    assert len(aside) == 1 and aside[0].read_text() == "{broken"

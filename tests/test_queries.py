@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone import catalogue
 
@@ -60,3 +61,30 @@ def test_mean_of_nothing_is_nan_and_sums_do_not_overflow(spark):
     assert big.agg(mean(F.col("id"))).first()[0] == float(2**63 - 1)
     words = spark.createDataFrame([("ał",), ("a",), ("",)], "s string")
     assert sorted(map(tuple, byte_frequency(words, "s").collect())) == [(0x61, 2), (0x82, 1), (0xC5, 1)]
+
+
+def test_statistics_of_odd_tables(spark):
+    from quernstone.operators.statistics import table_statistics
+
+    rows = [(2**63 - 1, "ał", None, 1.5), (2**63 - 1, None, None, None), (-(2**63), "", None, 2.5)]
+    table = spark.createDataFrame(rows, "n long, `s t` string, none int, out double")
+    got = {(r.column_name, r.byte): (r.n, r["mean"]) for r in table_statistics(table.repartition(2)).collect()}
+    assert got == {("n", None): (3, (2**63 - 2) / 3), ("s t", 0x61): (1, None), ("s t", 0xC5): (1, None), ("s t", 0x82): (1, None)}
+    assert table_statistics(table.limit(0)).count() == 0
+
+
+def test_differences(spark):
+    from quernstone.operators.validation import differences, printed
+
+    rows = [(1, "a", None), (1, "a", None), (2, "b", "x")]
+    table = spark.createDataFrame(rows, "i long, s string, x string")
+    assert differences(table, table.orderBy(F.desc("i"))).count() == 0
+    got = lambda other: sorted((r.place, r.problem) for r in differences(table, other).collect())
+    swapped = spark.createDataFrame([(1, "b", None), (1, "a", None), (2, "a", "x")], "i long, s string, x string")
+    assert got(swapped) == [(-1, "rows differ")]
+    assert got(table.where("i = 2")) == [
+        (-1, "rows differ"), (-1, "tables have different numbers of rows"), (0, "has different values"), (1, "has different values"), (2, "has different values")
+    ]
+    assert (-1, "tables have different numbers of columns") in got(table.drop("x"))
+    assert (0, "expected type bigint but received int") in got(table.withColumn("i", F.col("i").cast("int")))
+    assert printed(table, 2) == 'rows: 3, columns: 3\ni: 1, 1\ns: "a", "a"\nx: None, None'
