@@ -3,15 +3,23 @@
 Distinct vectors are spread over shards of bounded size by hash. Each shard gets a graph: nested
 layers, each a random sixteenth of the one below; in a layer a node's edges are a diverse choice of
 its nearest nodes (exact, by blocked products, as shards are bounded) made mutual, and in all but
-the top layer also edges to its nearest nodes of the layer above. Beams are widened until the
-shard's audit, a sample of its vectors held against brute force, passes. Then every vector is a
-query to every shard, in blocks: a beam descends the layers, and what lies within the threshold is
+the top layer also edges to its nearest nodes of the layer above. The top layer, of TOP nodes at most, is
+scanned whole for the entry points; a beam descends from them.
+
+Beams are widened until the shard's audit passes: queries of its own and of vectors that it doesn't
+hold, in classes by how many links they have there, are held against brute force, and each class
+must reach RECALL by itself, so large groups can't hide what is lost of small ones. A beam as wide as
+the shard is a scan.
+
+Then every vector is a query to every shard, in one job: graphs lie in the shared folder, a file a shard,
+and a task that holds a block of queries asks one after the other. What lies within the threshold is
 followed along the edges to its end, so groups wider than the beam are found whole. Cosines are
 decided in double precision.
 """
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Iterator
 
@@ -20,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import checkpoint, connected_components, read
+from quernstone.llm.common import checkpoint, connected_components, new_folder, read, read_part, remove
+
+log = logging.getLogger("quernstone")
 
 COSINE = 0.95
 SHARD = 25_000
@@ -28,8 +38,11 @@ LEAST_SHARDS = 4
 EDGES, ABOVE = 24, 6
 BEAM = 24
 RATIO = 16
-TOP = 256
-AUDITS, RECALL = 100, 0.99
+TOP = 2048
+RECALL = 0.99
+AUDITS = 150  # queries of each kind and class
+CLASSES = (3, 60)  # up to 3 links, up to 60, more
+HELD_BYTES = 64_000_000  # of vectors in a shard, and of queries that a task holds at once
 QUERY_BLOCK = 256
 SEED = 5
 
@@ -42,9 +55,11 @@ class Layer:
 
 
 class Graph:
-    def __init__(self, vectors: np.ndarray, seed: int = SEED):
-        self.vectors = vectors.astype(np.float32)
+    def __init__(self, vectors: np.ndarray, least: float, seed: int = SEED):
+        self.vectors, self.least = vectors.astype(np.float32), least
         self.beam = BEAM
+        self.degree = np.zeros(len(vectors), np.int64)
+        self.recall: list[float | None] = []
         order = np.random.default_rng(seed).permutation(len(vectors))
         sizes = [len(vectors)]
         while sizes[-1] > TOP:
@@ -70,6 +85,8 @@ class Graph:
             rows = slice(i, min(i + 512, n))
             sims = x[rows] @ x.T
             sims[np.arange(sims.shape[0]), np.arange(rows.start, rows.stop)] = -2
+            if n == len(self.vectors):
+                self.degree[rows] = (sims >= self.least).sum(axis=1)
             near = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
             own = np.take_along_axis(sims, near, 1)
             by = np.argsort(-own, axis=1, kind="stable")
@@ -146,16 +163,16 @@ class Graph:
     def search(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, place) pairs of all vectors found with cosine >= least, in single precision."""
         queries = queries.astype(np.float32)
-        entry = np.zeros((len(queries), 1), np.int64)
-        for i, layer in enumerate(self.layers):
-            base = i == len(self.layers) - 1
-            beam = min(self.beam if base else 4, len(layer.members))
-            entry = entry[:, :beam]
-            ids, sims, visited = self._descend(layer, queries, entry, beam)
-            if not base:
-                below = self.layers[i + 1].members
-                at = np.where(ids < len(layer.members), ids, ids[np.arange(len(ids)), np.argmax(sims, 1)][:, None])
-                entry = np.searchsorted(below, layer.members[at])
+        if len(self.layers) == 1 or self.beam >= len(self.vectors):
+            return np.nonzero(queries @ self.vectors.T >= least)
+        members = self.layers[0].members
+        beam = min(self.beam, len(members))
+        entry = np.argpartition(-(queries @ self.vectors[members].T), beam - 1, axis=1)[:, :beam]
+        for layer in self.layers[1:]:
+            ids, sims, _ = self._descend(layer, queries, np.searchsorted(layer.members, members[entry]), beam)
+            real = ids < len(layer.members)
+            entry = np.where(real, ids, ids[np.arange(len(ids)), np.argmax(sims, 1)][:, None])
+            members = layer.members
         layer, n = self.layers[-1], len(self.vectors)
         found_q, found_v = [], []
         hits = sims >= least
@@ -182,35 +199,35 @@ class Graph:
             found_v.append(new)
         return np.concatenate(found_q), np.concatenate(found_v)
 
-    def audit(self, least: float, audits: int = AUDITS, recall: float = RECALL, seed: int = SEED) -> None:
-        """Doubles the beam until a sample's links and nearest vectors are found; at full width all are."""
-        n = len(self.vectors)
-        sample = np.sort(np.random.default_rng(seed + 1).permutation(n)[:audits])
-        sims = self.vectors[sample] @ self.vectors.T
-        sims[np.arange(len(sample)), sample] = -2
-        wanted = {(i, j) for i, j in zip(*np.nonzero(sims >= least))}
-        nearest = sims.argmax(axis=1)
-        while self.beam < n:
-            q, v = self.search(self.vectors[sample], least)
-            linked = wanted <= set(zip(q.tolist(), v.tolist())) if len(wanted) < 1000 else (
-                len(wanted & set(zip(q.tolist(), v.tolist()))) >= recall * len(wanted)
-            )
-            ids = self._nearest(self.vectors[sample])
-            hit = (ids == nearest[:, None]).any(axis=1).mean() if n > 1 else 1.0
-            if linked and hit >= recall:
+    def audit(self, audits: int = AUDITS, recall: float = RECALL, seed: int = SEED) -> None:
+        """Doubles the beam until every class of queries finds its share of links; `recall` keeps the last shares.
+
+        Queries are up to `audits` vectors of the shard from each class of links, and as many turned away from such
+        vectors by any angle within the threshold, which stand for vectors of other shards.
+        """
+        rng = np.random.default_rng(seed + 1)
+        of = np.searchsorted(CLASSES, self.degree)
+        sample = np.concatenate([rng.permutation(np.flatnonzero(of == c))[:audits] for c in range(len(CLASSES) + 1)])
+        own = self.vectors[sample].astype(np.float64)
+        noise = rng.standard_normal(own.shape)
+        noise -= np.einsum("ij,ij->i", noise, own)[:, None] * own
+        noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+        turn = rng.uniform(self.least, 1.0, (len(own), 1))
+        queries = np.concatenate([own, turn * own + np.sqrt(1 - turn**2) * noise]).astype(np.float32)
+        wanted = queries @ self.vectors.T >= self.least
+        links = wanted.sum(axis=1)
+        of = np.searchsorted(CLASSES, links)
+        while True:
+            found = np.zeros(wanted.shape, bool)
+            for i in range(0, len(queries), QUERY_BLOCK):
+                q, v = self.search(queries[i : i + QUERY_BLOCK], self.least)
+                found[q + i, v] = True
+            hits = (found & wanted).sum(axis=1)
+            shares = [(hits[of == c].sum(), links[of == c].sum()) for c in range(len(CLASSES) + 1)]
+            self.recall = [float(h / n) if n else None for h, n in shares]
+            if all(r is None or r >= recall for r in self.recall) or self.beam >= len(self.vectors):
                 return
             self.beam *= 2
-        self.beam = n
-
-    def _nearest(self, queries: np.ndarray) -> np.ndarray:
-        entry = np.zeros((len(queries), 1), np.int64)
-        for i, layer in enumerate(self.layers):
-            beam = min(self.beam if i == len(self.layers) - 1 else 4, len(layer.members))
-            ids, sims, _ = self._descend(layer, queries, entry[:, :beam], beam)
-            if i < len(self.layers) - 1:
-                at = np.where(ids < len(layer.members), ids, ids[np.arange(len(ids)), np.argmax(sims, 1)][:, None])
-                entry = np.searchsorted(self.layers[i + 1].members, layer.members[at])
-        return ids
 
 
 class Shard:
@@ -218,8 +235,8 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cosine: float):
         self.ids, self.copies, self.unit, self.cosine = ids, copies, unit, cosine
-        self.graph = Graph(unit)
-        self.graph.audit(cosine - 1e-5)
+        self.graph = Graph(unit, cosine - 1e-5)
+        self.graph.audit()
         self.component = np.arange(len(ids))
         parent = self.component
 
@@ -264,15 +281,40 @@ def _build(table: pa.Table, cosine: float) -> pa.Table:
     shard = Shard(
         table.column("rep").to_numpy(), table.column("copies").to_numpy(), _unit(table.column("embedding")), cosine
     )
-    return pa.table({"shard": table.column("shard").slice(0, 1), "graph": pa.array([pickle.dumps(shard, 5)], pa.binary())})
-
-
-def _ask(batches: Iterator[pa.RecordBatch], shard: object) -> Iterator[pa.RecordBatch]:
-    held = shard.value
+    least = [r for r in shard.graph.recall if r is not None]
+    columns = {
+        "shard": table.column("shard").slice(0, 1),
+        "graph": pa.array([pickle.dumps(shard, 5)], pa.binary()),
+        "beam": pa.array([shard.graph.beam], pa.int32()),
+        "recall": pa.array([min(least, default=1.0)], pa.float64()),
+    }
+    return pa.table(columns)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors, HELD_BYTES of them at a time."""
+    ids: list[np.ndarray] = []
+    units: list[np.ndarray] = []
+    size = 0
     for batch in batches:
-        if batch.num_rows:
-            rows = held.links(batch.column("rep").to_numpy(), _unit(batch.column("embedding")))
-            columns = list(zip(*rows)) or [[]] * 3
+        step = max(HELD_BYTES // (8 * max(len(batch.column("embedding")[0]), 1)), 1) if batch.num_rows else 1
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            ids.append(part.column("rep").to_numpy())
+            units.append(_unit(part.column("embedding")))
+            size += units[-1].nbytes
+            if size >= HELD_BYTES:
+                yield np.concatenate(ids), np.concatenate(units)
+                ids, units, size = [], [], 0
+    if ids:
+        yield np.concatenate(ids), np.concatenate(units)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], folder: str, shards: list[int]) -> Iterator[pa.RecordBatch]:
+    for ids, unit in _blocks(batches):
+        for number in shards:
+            shard = pickle.loads(read_part(f"{folder}/shard={number}", ["graph"]).column("graph")[0].as_buffer())
+            columns = list(zip(*shard.links(ids, unit))) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "other", "n"])
 
 
@@ -285,9 +327,10 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, shard_rows: int
     counts as often as it occurs; a repeated vec_id counts as several rows. A null vec_id isn't linked,
     and is kept with a null component. An empty table gives an empty result.
 
-    Only one shard's graph, of `shard_rows` vectors at most on average, is in the driver and broadcast at
-    a time; queries stream past it unshuffled. A query reports, per component of a shard, one link and
-    a count, not all its partners, so a group of thousands gives thousands of rows, not millions.
+    A shard has `shard_rows` vectors on average, fewer where they are long (HELD_BYTES); distinct vectors are
+    spread by hash, so no shard is hot. A query reports, per component of a shard, one link and a count, not all
+    its partners, so a group of thousands gives thousands of rows, not millions. Neither vectors nor graphs pass
+    through the driver; each length of vectors is two jobs. The audits' beams and shares found are logged.
     """
     spark = embeddings.sparkSession
     good = (
@@ -306,27 +349,31 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, shard_rows: int
     )
     nodes = checkpoint(nodes)
     found = None
+    folders: list[str] = []
     for (size,) in nodes.select(F.size("embedding")).distinct().collect():
         own = nodes.where(F.size("embedding") == size)
-        shards = max(LEAST_SHARDS, -(-own.count() // shard_rows))
+        shards = max(LEAST_SHARDS, -(-own.count() // max(min(shard_rows, HELD_BYTES // (8 * size)), 1)))
         spread = own.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
-        graphs = checkpoint(
+        graphs = (
             spread.select("shard", "rep", "copies", "embedding")
-            .repartition(shards, "shard")
             .groupBy("shard")
-            .applyInArrow(lambda t: _build(t, cosine), "shard int, graph binary")
+            .applyInArrow(lambda t: _build(t, cosine), "shard int, graph binary, beam int, recall double")
+        )
+        folder = new_folder(spark, "graphs")
+        folders.append(folder)
+        graphs.write.option("maxRecordsPerFile", 1).partitionBy("shard").parquet(folder)
+        audits = spark.read.parquet(folder).select("shard", "beam", "recall").collect()  # three numbers a shard
+        log.info("graphs of %d vectors' length: least recall %.4f, beams up to %d", size, min(a.recall for a in audits), max(a.beam for a in audits))
+        built = sorted(a.shard for a in audits)
+        asked = own.select("rep", "embedding").mapInArrow(
+            lambda it, folder=folder, built=built: _ask(it, folder, built), "rep long, other long, n long"
         )
-        queries = own.select("rep", "embedding")
-        for shard in range(shards):
-            row = graphs.where(F.col("shard") == shard).select("graph").first()
-            if row is None:
-                continue
-            held = spark.sparkContext.broadcast(pickle.loads(row[0]))
-            answers = checkpoint(queries.mapInArrow(lambda it, held=held: _ask(it, held), "rep long, other long, n long"))
-            held.unpersist()
-            found = answers if found is None else found.unionByName(answers)
+        answers = checkpoint(asked.groupBy("rep", "other").agg(F.sum("n").alias("n")))
+        found = answers if found is None else found.unionByName(answers)
     if found is None:
         found = spark.createDataFrame([], "rep long, other long, n long")
+    for folder in folders:
+        remove(spark, folder)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     same = keyed.join(nodes.select("h1", "h2", "rep", "copies"), ["h1", "h2"]).select("vec_id", "rep", "copies")
     edges = found.select(F.col("rep").alias("a"), F.col("other").alias("b"))
@@ -343,3 +390,28 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, shard_rows: int
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+#: All cosines in double precision, and the least vector that each reaches by links.
+OP7_SQL = f"""
+WITH RECURSIVE good AS (
+  SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+unit AS (SELECT k, vec_id, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS u FROM good),
+link AS (
+  SELECT a.k AS a, b.k AS b, b.vec_id FROM unit a JOIN unit b
+  ON a.k <> b.k AND len(a.u) = len(b.u) AND list_dot_product(a.u, b.u) >= {COSINE}),
+reached AS (
+  SELECT k, vec_id AS least FROM unit
+  UNION SELECT link.b, reached.least FROM reached JOIN link ON link.a = reached.k WHERE reached.least < link.vec_id),
+counted AS (SELECT a AS k, count(*) AS n FROM link GROUP BY a),
+grouped AS (SELECT k, min(least) AS component FROM reached GROUP BY k),
+found AS (
+  SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id
+  FROM good JOIN grouped USING (k) LEFT JOIN counted USING (k)
+  UNION ALL SELECT vec_id, 0, vec_id FROM embeddings e
+  WHERE vec_id IS NULL OR embedding IS NULL OR len(embedding) = 0
+    OR len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) > 0 OR len(list_filter(embedding, lambda v: v <> 0)) = 0)
+SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM found
+"""

@@ -24,14 +24,12 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import SPACE, STOP
-from quernstone.llm.common import bounded_batches, checkpoint, new_folder, read, remove
+from quernstone.llm.common import bounded_batches, checkpoint, new_folder, read, read_part, remove
 
 ORDER = 5
 WIDTH = 12  # bits of a symbol in an n-gram's key; symbol 0 stands before a text
@@ -228,8 +226,7 @@ def resolve(keys: DataFrame, model: Model) -> DataFrame:
 
 
 def _block_bits(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
-    files, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
-    rows = pyarrow.dataset.dataset(path, filesystem=files, format="parquet").to_table(columns=["key", "bits"])
+    rows = read_part(f"{folder}/block={block}", ["key", "bits"])
     key, bits = rows.column("key").to_numpy(), rows.column("bits").to_numpy()
     order = np.argsort(key, kind="stable")
     return key[order], bits[order]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.chat import OP3_SQL, op3_chat
 from quernstone.llm.decontaminate import op8_decontamination
-from quernstone.llm.embeddings import op7_embeddings
+from quernstone.llm.embeddings import OP7_SQL, op7_embeddings
 from quernstone.llm.html import op10_html
 from quernstone.llm.language import op5_language
 from quernstone.llm.licenses import OP6_SQL, op6_licenses
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op6_licenses": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_chat": OP3_SQL, "op6_licenses": OP6_SQL, "op7_embeddings": OP7_SQL, "op9_mixing": OP9_SQL}
