@@ -54,9 +54,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder's name below the shared one, with its scheme, that nothing else uses; nothing is made yet."""
+    """A folder's name below the shared one, with its scheme, that nothing else uses; deleted when the session ends."""
     place = _path(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return re.sub("^file:/+", "file:///", place.getFileSystem(_hadoop(spark)).makeQualified(place).toString())
+    files = place.getFileSystem(_hadoop(spark))
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    files.delete(place, True)  # it was made to be marked only; Spark writes where nothing is
+    return re.sub("^file:/+", "file:///", files.makeQualified(place).toString())
 
 
 def read_part(part: str, columns: list[str]) -> pa.Table:

@@ -1,6 +1,8 @@
 """Main text extraction: fixed pages, wrapper induction, and pages that are odd."""
 
+import itertools
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,10 +70,57 @@ def test_copies_of_an_article_are_not_template(spark):
     assert got[7] == "Same\n" + words(1) and got[111] == words(11)
 
 
-def test_blocks_of_hosts_give_the_same_texts(spark, monkeypatch):
-    whole = sorted(map(tuple, web.extract(read(spark, DATA, "pages")).collect()))
-    monkeypatch.setattr(web, "WRAPPER_BYTES", 40_000)
-    assert sorted(map(tuple, web.extract(read(spark, DATA, "pages")).collect())) == whole
+def on_host(spark, bodies, host="same.example"):
+    rows = [(i, f"https://{host}/{i}", b) for i, b in enumerate(bodies)]
+    return [r.text for r in web.extract(frame(spark, rows)).orderBy("page_id").collect()]
+
+
+def test_only_induction_tells_parts_of_pages_without_article(spark):
+    """No article, no telling tag or class: constant slots are template, from two pages on, and in each of two layouts."""
+    page = "<div><div><span>Fine Site</span></div><div><div><h2>{0}</h2><p>{1}</p><p>Same in both.</p></div><div>Made by us</div></div></div>"
+    assert on_host(spark, [page.format(words(1), words(2)), page.format(words(3), words(4)).replace("Same in both.", "Other")]) == [
+        f"{words(1)}\n{words(2)}\nSame in both.", f"{words(3)}\n{words(4)}\nOther"
+    ]
+    other = "<table><tr><td>Fine Site</td></tr></table><section><h3>{0}</h3><ul><li>{1}</li></ul></section><table><tr><td>Shop now</td></tr></table>"
+    pages = [page.format(words(k), words(50 + k)).replace("Same in both.", words(90 + k)) for k in range(4)]
+    pages += [other.format(words(20 + k), words(70 + k)) for k in range(9)]
+    got = on_host(spark, pages)
+    assert got[2] == f"{words(2)}\n{words(52)}\n{words(92)}" and got[7] == f"{words(23)}\n{words(73)}"
+
+
+NAMED = '<article><h2 id="related-work">{0}</h2><section id="social-impact"><p>{1}</p></section><p class="share-price">{2}</p><div class="notice-period">{3}</div></article>'
+
+
+def test_names_inside_an_article_delete_nothing_by_themselves(spark):
+    text = "\n".join(words(k) for k in range(4))
+    assert alone(spark, NAMED.format(*[words(k) for k in range(4)])) == [text]
+    pages = [NAMED.format(*[words(k) for k in range(4)])] + [f"<article><h2>{words(10 + k)}</h2><p>{words(30 + k)}</p></article>" for k in range(12)]
+    assert on_host(spark, pages)[0] == text
+
+
+def test_an_ambiguous_element_that_most_pages_have_is_template(spark):
+    page = '<article><p>{0}</p><div class="td-related-x"><p>{1}</p></div></article>'
+    assert on_host(spark, [page.format(words(k), words(40 + k)) for k in range(12)]) == [words(k) for k in range(12)]
+
+
+def test_formulas_teasers_and_linked_paragraphs_stay(spark):
+    assert alone(
+        spark,
+        "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>",
+        f"<article>Read this</article><div><p>{words(1, 30)}</p><p>{words(2, 30)}</p></div>",
+        "<div><p><a href=x>All of it</a></p><p>b</p></div>",
+    ) == ["Let x=1 be", f"Read this\n{words(1, 30)}\n{words(2, 30)}", "All of it\nb"]
+
+
+def test_constant_texts_of_few_articles_are_content(spark):
+    pages = [f"<article><p>{words(k)}</p><p>Licensed alike.</p></article>" for k in range(6)]
+    assert on_host(spark, pages) == [f"{words(k)}\nLicensed alike." for k in range(6)]
+
+
+def test_any_number_of_blocks_gives_the_same_texts(spark):
+    pages = read(spark, DATA, "pages")
+    whole = sorted(map(tuple, web.extract(pages.repartition(1)).collect()))
+    assert sorted(map(tuple, web.extract(pages.repartition(7)).collect())) == whole
 
 
 ODD = [
@@ -88,7 +137,7 @@ ODD = [
 
 @pytest.mark.parametrize("page, text", ODD)
 def test_odd_pages(page, text):
-    web._references({})
+    sys.setrecursionlimit(1_000_000)
     _, blocks, has_main = web.parse(page or "")
     assert "\n".join(t for _, t in web.texts(blocks, has_main)) == text
 
@@ -122,3 +171,44 @@ def test_matching_finds_the_largest_alignment():
     nav, div, footer = a.children
     assert nav.slot == 0 and div.slot == b.children[1].slot and footer.slot == b.children[2].slot
     assert [c.slot for c in div.children] == [0, b.children[1].children[0].slot, b.children[1].children[1].slot]
+
+
+def plain_weight(a, b):
+    """Of the largest order-preserving match, by trying every choice of pairs of children."""
+    if a.tag != b.tag:
+        return 0
+    best = 0
+    for n in range(min(len(a.children), len(b.children)) + 1):
+        for left in itertools.combinations(a.children, n):
+            for right in itertools.combinations(b.children, n):
+                weights = [plain_weight(x, y) for x, y in zip(left, right)]
+                best = max(best, sum(weights)) if all(weights) else best
+    return best + 1
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_matching_agrees_with_all_choices(seed):
+    r = random.Random(seed)
+
+    def tree(depth):
+        return web.Shape(r.choice("ab" if depth else "a"), [tree(depth + 1) for _ in range(r.randint(0, 3 if depth < 2 else 0) if depth else 4)])
+
+    a, b = tree(0), tree(0)
+    assert web._weight(a, b, {}) == plain_weight(a, b)
+    web.number(b)
+    web.match(a, b, {})
+
+    def pairs(node):
+        return [(node, node.slot)] + [p for c in node.children for p in pairs(c)]
+
+    of = {slot: node for node, slot in pairs(b)}
+    matched = [(node, slot) for node, slot in pairs(a) if slot]
+    assert len(matched) == plain_weight(a, b) == len({s for _, s in matched})
+    assert all(node.tag == of[slot].tag for node, slot in matched) and [s for _, s in matched] == sorted(s for _, s in matched)
+
+
+def test_shapes_are_reread_as_they_were():
+    sys.setrecursionlimit(1_000_000)
+    for page in (ARTICLE, "", "<div>" * 2000 + "x", "<p>a<h2>b</h2><ul><li>c<li>d</ul>"):
+        tree = web.shape([web.parse(page)[0]])
+        assert web.reread(web.written(tree)).key == tree.key
