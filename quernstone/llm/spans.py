@@ -9,6 +9,29 @@ BLOCK = 512
 SPANS = "array<struct<s:int,e:int>>"
 
 
+def prefix_sums(values: Column) -> Column:
+    """array<int>: for each of an array of ints the sum of those before it.
+
+    Taken in blocks, as growing one array would be quadratic in its length.
+    """
+    size = F.size(values)
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+    )
+
+    def running(xs: Column, start: Column) -> Column:
+        return F.aggregate(
+            xs,
+            F.struct(start.alias("p"), F.expr("cast(array() as array<int>)").alias("out")),
+            lambda acc, x: F.struct((acc["p"] + x).alias("p"), F.concat(acc["out"], F.array(acc["p"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    before = running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x)), F.lit(0))
+    inside = F.zip_with(blocks, before, running)
+    return F.when(size > 0, F.flatten(inside)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
 def match_ends(gaps: Column, matches: Column) -> Column:
     """array<struct<s, e>>: start and end (exclusive, code points) of each match.
 

@@ -200,6 +200,7 @@ LICENSE_TEXTS = [
     "general public license general public license mit license", "xmit license", "ſmit license mit", "MIT  ___ LiCeNsE é mit license" * 50,
     "Licensed under the Apache License, Version 2.0.", "words before\nReleased under the MIT License. and after\nend",
     "Licensed under CC BY-NC 4.0.", "Released under the License.", "This work is licensed under the GNU General Public License, version 3.",
+    "w " * 1000 + "licensed under cc by sa\n4.0 " + "x " * 1000, "Licensed under GNU Lesser General Public License (version 3)", "cc by 4 0 licensed under",
 ]
 
 
@@ -208,16 +209,53 @@ def license_brute(text):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     w = pattern.findall((text or "").translate(table))
     places = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-    blocks = [set(pattern.findall(line.translate(table))) for line in (text or "").split("\n")]
     found = set()
-    for k, block in enumerate(blocks):
-        for label, statement in licenses.TEMPLATES:
-            t = set(statement.split())
-            if len(block & t) >= math.ceil(licenses.THRESHOLD * len(t) - 1e-9):
-                found.add((k, label, len(block & t) / len(t)))
+    for label, statement in licenses.TEMPLATES:
+        t, stride = set(statement.split()), 24 if len(statement.split()) <= 25 else 96
+        named = {"general", "public"} if label == "gpl" else {"cc", label[-2:]} if label[:6] in ("cc-by-",) else set(licenses.MUST[label])
+        named = (named | {"mit", "apache", "gnu", "lesser", "mozilla"}) & t
+        for k in range(max(-(-(len(w) - stride) // stride), 1)):
+            block = set(w[k * stride : k * stride + 2 * stride])
+            if len(block & t) >= math.ceil(licenses.THRESHOLD * len(t) - 1e-9) and named <= block:
+                found.add((stride, k, label, len(block & t) / len(t)))
     return len(w), sorted(i for i, _ in places), sorted({label for _, label in places}), found
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:""",
+    "apache": """Licensed under the Apache Licence, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public License""",
+    "cc0": "To the extent possible under law, the\nauthor has waived all copyright and related or\nneighboring rights to this work.",
+    "mpl": "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0.",
+}
+
+
+def test_wrapped_statements_are_found_and_told_apart(spark):
+    prose = " ".join(random.Random(4).choice(["the", "of", "work", "under", "terms", "use", "and"]) for _ in range(300))
+    texts = [f"{prose}\n/*\n * {text}\n */\n{prose}" for text in WRAPPED.values()] + [prose]
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(docs(spark, texts)).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert label in got[i] and got[i] <= {label, "gpl" if label == "lgpl" else label}, (label, got[i])
+    assert got[len(WRAPPED)] == set()
+
+
 def test_licenses_match_brute_force(spark):
     texts = LICENSE_TEXTS + [r.text for r in read(spark, "/root/testdata/sf0.01", "documents").collect()]
     found = licenses.scan(docs(spark, texts))
@@ -225,20 +263,29 @@ def test_licenses_match_brute_force(spark):
     for r in found.collect():
         n, places, labels, matches = license_brute(texts[r.doc_id])
         assert (r.n_words, sorted(r.places), list(r.base_labels)) == (n, places, labels), texts[r.doc_id]
-        assert {(m.block, m.label, m.containment) for m in r.matches} == matches
-        assert r.score == (1.0 if places else max((m[2] for m in matches), default=0.0))
+        assert {(m.stride, m.block, m.label, m.containment) for m in r.matches} == matches, texts[r.doc_id]
+        assert r.score == (1.0 if places else max((m[3] for m in matches), default=0.0))
 
 
 def test_license_join_is_exact_on_random_sets(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(14)]
     templates = tuple((f"t{k}", " ".join(rng.sample(vocabulary, rng.randint(3, 8)))) for k in range(10))
-    blocks = [(i, 0, rng.sample(vocabulary, rng.randint(1, 10))) for i in range(200)]
-    index = licenses.template_index(templates, {w: sum(w in b for _, _, b in blocks) for w in vocabulary}, 0.7)
-    got = licenses.license_join(spark.createDataFrame(blocks, "rid long, block int, words array<string>"), index)
+    blocks = [(i, 0, 24, rng.sample(vocabulary, rng.randint(1, 10))) for i in range(200)]
+    order = licenses.frequency_order(vocabulary, {w: sum(w in b for *_, b in blocks) for w in vocabulary})
+    blocks = [(i, k, s, sorted(b, key=lambda w: order[w])) for i, k, s, b in blocks]
+    index = licenses.template_index(templates, order, 0.7)
+    frame = spark.createDataFrame(blocks, "rid long, block int, stride int, words array<string>")
+    got = licenses.license_join(frame, index)
+    met = licenses.candidates(frame, index)
+    left = [met.count()]
+    for condition in licenses.FILTERS.values():
+        met = met.where(condition)
+        left.append(met.count())
+    assert left[0] > left[1] > left[2] > left[3] >= got.count() > 0, left  # each filter removes some
     want = {
         (i, label, len(set(b) & set(s.split())) / len(s.split()))
-        for i, _, b in blocks
+        for i, _, _, b in blocks
         for label, s in templates
         if len(set(b) & set(s.split())) >= math.ceil(0.7 * len(s.split()) - 1e-9)
     }
