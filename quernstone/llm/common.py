@@ -69,6 +69,13 @@ def read_part(part: str, columns: list[str]) -> pa.Table:
     return pyarrow.dataset.dataset(path, filesystem=files, format="parquet").to_table(columns=columns)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder as Parquet and read again: for rows with texts, which compress well."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder, wherever it is, with all that is in it."""
     place = _path(spark, folder)

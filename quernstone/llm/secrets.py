@@ -20,12 +20,13 @@ discoveries at `fdr`.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import checkpoint, read
+from quernstone.llm.common import checkpoint, read, stored
 from quernstone.llm.spans import match_ends
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -274,19 +275,17 @@ def _kind(spans: Column, rank: int) -> Column:
 
 
 def scan(
-    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), fdr: float = ALPHA, rescan: bool = False
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), fdr: float = ALPHA, hold: Callable[[DataFrame], DataFrame] = checkpoint
 ) -> DataFrame:
     """The columns `keep` and `found`: array<struct<s, rank, e, kind>>, sorted, for every row.
 
     Reads `text` (null: empty). Fixed patterns give the kinds assign, access and hex; the battery
     adds `random` for tokens that overlap none of those. Rows that repeat are scanned as separate
     rows; empty tables give empty results; other columns are ignored. There is no shuffle but that
-    of the battery's counts. The rows are checkpointed between the counts and the decisions; with
-    `rescan` they are computed twice instead, for `keep` that holds the texts.
+    of the battery's counts. Each text is scanned once: `hold` keeps the rows with their candidates between the
+    counts and the decisions.
     """
-    found = candidates(docs, keep)
-    if not rescan:
-        found = checkpoint(found)
+    found = hold(candidates(docs, keep))
     steps = discovery_steps(found.select(F.explode("_tests").alias("t")).select("t.stratum", F.col("t.best").alias("step")), fdr)
     if steps:
         least = F.create_map(*[F.lit(x) for pair in sorted(steps.items()) for x in pair])
@@ -305,10 +304,13 @@ def written(found: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", fdr: float = ALPHA) -> DataFrame:
     """`docs` with every secret's span, overlapping ones merged, replaced by `mark`; n_chars follows.
 
-    The spans are found and cut in the same row, so rows need no key. Null texts stay null.
+    The spans are kept beside the rows in the shared folder, found once and cut in the same row, so rows need no
+    key and texts aren't shuffled. Null texts stay null, and a row without secrets stays as it is. Columns of any
+    name are kept; n_chars may be missing. Rows that repeat are cut each; an empty table gives an empty result.
     """
     columns = docs.columns
-    found = scan(docs, tuple(columns), fdr, rescan=True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
+    found = scan(rows, ("row",), fdr, lambda df: stored(df, "secrets")).withColumn("text", F.col("row.text"))
     # merged spans, then the pieces between them
     merged = F.aggregate(
         "found",
@@ -332,10 +334,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", fdr: float = ALPHA) -> DataF
     out = found.withColumn("_cuts", merged).withColumn(
         "_clean", F.when((F.size("found") > 0) & F.col("text").isNotNull(), clean).otherwise(F.col("text"))
     )
-    chars = F.when(F.size("found") > 0, F.length("_clean").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.select(
-        *[F.col("_clean").alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(c) for c in columns]
-    )
+    def cut(name: str) -> Column:
+        if name == "text":
+            return F.col("_clean")
+        if name == "n_chars":
+            chars = F.length("_clean").cast(docs.schema[name].dataType)
+            return F.when(F.size("found") > 0, chars).otherwise(F.col("row.n_chars"))
+        return F.col(f"row.`{name}`")
+
+    return out.select(*[cut(c).alias(c) for c in columns])
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
