@@ -5,7 +5,9 @@ benchmark item is cut into overlapping segments; a document holds an item if it
 within the edit budget. A segment of n characters with at most e edits shares at least
 n + 1 - q(e + 1) of its q-grams, all of them on e + 1 neighbouring diagonals. So the shared q-grams
 are counted in bands of 2(e + 1) diagonals that overlap by half, bands below the bound are dropped,
-and what remains is verified by banded alignment of the segment with the band's region.
+and what remains is verified by banded alignment of the segment with the band's region. Items of
+fewer than LEAST characters are too short for edits: they are held where they stand exactly, as whole
+words.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.codes import STOP, lowered, normal
+from quernstone.llm.codes import SPACE, STOP, lowered, normal
 from quernstone.llm.common import bounded_batches, checked_ids, read
 
 Q = 8
 SEGMENT, STRIDE = 80, 40
 BUDGET = 0.1
-LEAST = 24
+LEAST = 24  # characters of an item that may hold edits; shorter ones, from Q characters, must be exact
+POSTINGS = 2_000_000  # meetings of a document's q-grams with segments that are counted at once
 #: Characters of benchmark text that one pass over the documents takes; more are taken in blocks.
 BLOCK_CHARS = 8_000_000
 BUFFER_CHARS = 1 << 20
@@ -61,6 +64,7 @@ class Index:
     begin: np.ndarray
     segment: np.ndarray
     place: np.ndarray
+    order: np.ndarray  # rank of the q-gram times the number of segments, plus the segment; ascending
     bits: np.ndarray
 
 
@@ -74,12 +78,12 @@ def index_items(items: list[tuple[int, str]]) -> Index | None:
         if len(whole) and whole[0] == 32:
             whole = whole[1:]
         n = len(whole)
-        if n < LEAST:
+        if n < Q:
             continue
         starts = sorted({*range(0, max(n - SEGMENT, 0) + 1, STRIDE), max(n - SEGMENT, 0)})
         for s in starts:
             part = whole[s : s + SEGMENT]
-            e = min(int(BUDGET * len(part)), (len(part) - Q) // Q)
+            e = min(int(BUDGET * len(part)), (len(part) - Q) // Q) if n >= LEAST else 0
             h = grams(part)
             segs.append(np.full(len(h), len(item)))
             places.append(np.arange(len(h)))
@@ -95,9 +99,11 @@ def index_items(items: list[tuple[int, str]]) -> Index | None:
     keys, begin = np.unique(h[order], return_index=True)
     bits = np.zeros(1 << BITS, bool)
     bits[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    begin = np.append(begin, len(h))
+    segment = np.concatenate(segs)[order]
+    ranked = np.repeat(np.arange(len(keys)), np.diff(begin)) * len(item) + segment
     return Index(
-        np.array(item), codes, np.array(budget), np.array(need), keys, np.append(begin, len(h)),
-        np.concatenate(segs)[order], np.concatenate(places)[order], bits,
+        np.array(item), codes, np.array(budget), np.array(need), keys, begin, segment, np.concatenate(places)[order], ranked, bits
     )
 
 
@@ -169,39 +175,63 @@ def within_budget(
     return out
 
 
-def _scan(codes: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, segment, start, end, edits) in a buffer of documents; bounds: where each begins, and the end."""
-    h = grams(codes)
-    hit = np.flatnonzero(index.bits[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-    if not len(hit):
-        return
-    slot = np.searchsorted(index.keys, h[hit])
-    slot[slot == len(index.keys)] = 0
-    real = index.keys[slot] == h[hit]
-    hit, slot = hit[real], slot[real]
-    count = index.begin[slot + 1] - index.begin[slot]
+def _meetings(index: Index, hit: np.ndarray, slot: np.ndarray, first: int, last: int) -> Iterator[tuple]:
+    """(place in the buffer, segment, place in it) of the q-grams `slot` that stand at `hit`, for segments first..last.
+
+    A q-gram that many segments have meets them all at each of its places, so segments are halved until no more
+    than POSTINGS meetings are held at once; all meetings of a segment come together.
+    """
+    n = len(index.item)
+    low, high = np.searchsorted(index.order, slot * n + first), np.searchsorted(index.order, slot * n + last)
+    count = high - low
     total = int(count.sum())
-    if not total:
-        return
-    where = np.repeat(index.begin[slot] - np.cumsum(count) + count, count) + np.arange(total)
-    segment, place = index.segment[where], index.place[where]
-    diag = np.repeat(hit, count) - place
-    doc = np.searchsorted(bounds, np.repeat(hit, count), side="right") - 1
+    if total > POSTINGS and last - first > 1:
+        middle = (first + last) // 2
+        yield from _meetings(index, hit, slot, first, middle)
+        yield from _meetings(index, hit, slot, middle, last)
+    elif total:
+        where = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
+        yield np.repeat(hit, count), index.segment[where], index.place[where]
+
+
+def _regions(index: Index, bounds: np.ndarray, at: np.ndarray, segment: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (document, segment, first diagonal) of bands that hold as many shared q-grams as the lemma asks for."""
+    diag = at - place
+    doc = np.searchsorted(bounds, at, side="right") - 1
     half = index.budget[segment] + 1
     offset = SEGMENT * 2
-    found = []
     for shift in (0, 1):  # two sets of bands, apart by half a band
         band = (diag + offset + shift * half) // (2 * half)
         key = (band * len(index.item) + segment) * len(bounds) + doc
-        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(n[at] >= index.need[segment])
+        _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(n[which] >= index.need[segment])
         # of those, only different places of the segment count
         both = np.unique(key[some] * SEGMENT + place[some]) // SEGMENT
         keys, n = np.unique(both, return_counts=True)
         d, rest = keys % len(bounds), keys // len(bounds)
         s, band = rest % len(index.item), rest // len(index.item)
         first = band * 2 * (index.budget[s] + 1) - offset - shift * (index.budget[s] + 1)
-        found.append(np.stack([d, s, first])[:, n >= index.need[s]])
+        yield np.stack([d, s, first])[:, n >= index.need[s]]
+
+
+def _whole_words(codes: np.ndarray, start: int, end: int) -> bool:
+    edge = (SPACE, STOP)
+    return (start == 0 or codes[start - 1] in edge) and (end == len(codes) or codes[end] in edge)
+
+
+def _scan(codes: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, segment, start, end, edits) in a buffer of documents; bounds: where each begins, and the end."""
+    h = grams(codes)
+    hit = np.flatnonzero(index.bits[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+    if not len(hit):
+        return
+    slot = np.searchsorted(index.keys, h[hit])
+    slot[slot == len(index.keys)] = 0
+    real = index.keys[slot] == h[hit]
+    hit, slot = hit[real], slot[real]
+    found = [np.zeros((3, 0), np.int64)]
+    for at, segment, place in _meetings(index, hit, slot, 0, len(index.item)):
+        found += _regions(index, bounds, at, segment, place)
     d, s, first = np.concatenate(found, axis=1)
     if not len(d):
         return
@@ -221,10 +251,11 @@ def _scan(codes: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[tuple
         left = max(int(bounds[doc_at]), begin - e)
         right = min(int(bounds[doc_at + 1]) - 1, begin + 2 * (e + 1) + len(pattern) + e)
         if cost == 0:
-            at = codes[left:right].tobytes().find(pattern.tobytes()) // 4
-            while (codes[left + at : left + at + len(pattern)] != pattern).any():  # found between two codes
-                at += 1
-            yield doc_at, seg, left + at, left + at + len(pattern), 0
+            for at in range(left, right - len(pattern) + 1):
+                end = at + len(pattern)
+                if (codes[at:end] == pattern).all() and (len(pattern) >= LEAST or _whole_words(codes, at, end)):
+                    yield doc_at, seg, at, end, 0
+                    break
             continue
         shown = align(pattern, codes[left:right], begin - left, begin - left + 2 * e + 1, e)
         if shown:
@@ -276,7 +307,7 @@ def segments_found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """MATCHES rows: every segment of an item found in a document, places in code points.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null and empty texts
-    match nothing, nor do items of fewer than LEAST letters and digits; items that repeat are one
+    match nothing, nor do items of fewer than Q letters and digits; items that repeat are one
     item by their id; documents that repeat are scanned each. Empty tables give an empty result.
 
     The benchmark is a query set held against all rows: it is cut into blocks of at most

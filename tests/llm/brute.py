@@ -109,6 +109,8 @@ def leaks(docs, items):
     for d, text in docs.items():
         text = plain(text)
         for i, item in items.items():
+            if 8 <= len(plain(item)) < 24 and f" {plain(item)} " in f" {text} ":
+                found.add((d, i))
             for part in segments(plain(item)):
                 budget = min(int(0.1 * len(part)), (len(part) - 8) // 8)
                 if part in text or edits_within(part, text) <= budget:

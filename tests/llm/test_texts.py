@@ -178,11 +178,21 @@ def test_decontamination_matches_brute_force(spark):
         part = "".join(noise)
         part = part[: len(part) // 2] if i % 5 == 4 else part
         docs.append((100 + i, f"{prose(r.randint(0, 80), i)} {part} {prose(r.randint(0, 80), 50 + i)}"))
-    docs += [(300, None), (301, ""), (302, "x")]
+    docs += [(300, None), (301, ""), (302, "x"), (303, "a Short, ONE!"), (304, "short ones"), (305, "xshort one"), (306, "short one short one")]
     bench = spark.createDataFrame(items + items[:1], "item_id long, text string").withColumn("doc_id", F.lit(7))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
     want = leaks({i: t or "" for i, t in docs}, {i: t or "" for i, t in items})
-    assert got == want and len(want) > 30
+    assert got == want and len(want) > 30 and {(303, 50), (306, 50)} <= got
+    assert {(r.doc_id, r.start, r.end) for r in decontaminate.segments_found(frame(spark, docs[-4:]), bench).collect()} == {(303, 2, 12), (306, 0, 9)}
+
+
+def test_a_qgram_that_all_segments_share_is_counted_in_parts(spark, monkeypatch):
+    items = [(i, "the same opening words of all items " + prose(12, 300 + i)) for i in range(60)]
+    docs = frame(spark, [(i, "the same opening words of all items " * 20 + items[i][1]) for i in range(12)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.segments_found(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "POSTINGS", 500)
+    assert sorted(map(tuple, decontaminate.segments_found(docs, bench).collect())) == whole and len(whole) >= 12
 
 
 def test_spans_point_at_the_passage(spark):
