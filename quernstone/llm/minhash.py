@@ -9,16 +9,20 @@ and L1 sketching", 2010) are banded; candidates are verified by exact weighted J
 Exact copies are one class from the start. In a band's bucket every text is held against the
 bucket's least id; a text that doesn't match that one is held against all others of the bucket, so
 the pairs of a group of mutual copies are never listed, yet no candidate pair between two
-components stays unverified. There is no cap on buckets or candidates.
+components stays unverified. Of such pairs only those are verified, and their texts moved, whose samples
+agree as often as a pair of the wanted similarity would but for once in 30,000 times: four bits of each
+sample are compared in the join. There is no cap on buckets or candidates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.codes import SPACE, STOP, lowered, normal
@@ -28,6 +32,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SKETCH_BITS = 18
+DEVIATIONS = 4.0  # by which a pair's agreeing samples may fall short of those expected
 BUFFER_CHARS = 1 << 19
 TABLE = 1 << 16
 SEED = 77
@@ -171,14 +176,40 @@ class Sampler:
         return chosen
 
 
+def nibbles(chosen: np.ndarray) -> np.ndarray:
+    """The first four bits of each sample, 16 samples to a word."""
+    parts = (chosen >> np.uint64(60)).reshape(-1, 16)
+    return (parts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+
+
+def agreeing(a: Column, b: Column) -> Column:
+    """How many of two texts' samples agree in their four bits."""
+
+    def differing(i: int) -> Column:
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    words = BANDS * ROWS // 16
+    return F.lit(BANDS * ROWS) - reduce(lambda x, y: x + y, [differing(i) for i in range(words)])
+
+
+def least_agreeing(similarity: float) -> int:
+    """Of the samples of a pair with this similarity, but for DEVIATIONS; four bits agree by chance once in 16 times."""
+    n, p = BANDS * ROWS, similarity + (1 - similarity) / 16
+    return math.floor(n * p - DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
     sampler = Sampler(BANDS * ROWS)
     for batch, found in _buffers(batches):
-        bands, sizes = [], []
+        bands, sizes, marks = [], [], []
         for grams, counts in found:
             if not len(grams):
                 bands.append(None)
                 sizes.append(0.0)
+                marks.append(None)
                 continue
             weight = weights(grams, counts, idf)
             chosen = sampler(grams, weight).reshape(BANDS, ROWS)
@@ -186,10 +217,11 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[
             for k in range(ROWS):
                 joined = _mix(joined * np.uint64(BASE) + chosen[:, k])
             bands.append(joined.view(np.int64))
+            marks.append(nibbles(chosen.ravel()).view(np.int64))
             sizes.append(float(weight.sum(dtype=np.float64)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("md5"), pa.array(sizes, pa.float64()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "md5", "total", "bands"],
+            [batch.column("doc_id"), batch.column("md5"), pa.array(sizes, pa.float64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+            ["doc_id", "md5", "total", "bands", "marks"],
         )
 
 
@@ -250,47 +282,55 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     idf = idf_table(known)
     signed = checkpoint(
         known.select("doc_id", text_md5(F.col("text")).alias("md5"), "text").mapInArrow(
-            lambda it: _signatures(it, idf), "doc_id long, md5 binary, total double, bands array<long>"
+            lambda it: _signatures(it, idf), "doc_id long, md5 binary, total double, bands array<long>, marks array<long>"
         )
     )
     worded = signed.where("bands is not null")
-    classes = checkpoint(
-        worded.groupBy("md5").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands"))
-    )
-    rows = classes.select("rep", "total", F.posexplode("bands").alias("band", "value"))
+    first = lambda name: F.first(name).alias(name)
+    classes = checkpoint(worded.groupBy("md5").agg(F.min("doc_id").alias("rep"), first("total"), first("bands"), first("marks")))
+    rows = classes.select("rep", "total", "marks", F.posexplode("bands").alias("band", "value"))
     buckets = rows.groupBy("band", "value").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(rows.join(buckets.hint("merge"), ["band", "value"]).select("band", "value", "leader", "rep", "total"))
+    members = checkpoint(
+        rows.join(buckets.hint("merge"), ["band", "value"]).select("band", "value", "leader", "rep", "total", "marks")
+    )
     # a similarity of s needs totals within a factor s of each other
-    own = members.groupBy("rep").agg(F.first("total").alias("total"))
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), "total").distinct()
-    stars = stars.join(own.select(F.col("rep").alias("a"), F.col("total").alias("total_a")), "a")
-    fits = f"least(total, total_a) >= {similarity} * greatest(total, total_a) * (1 - 1e-9)"
-    links = checkpoint(verify(checkpoint(stars.where(fits).select("a", "b")), known, idf, similarity).select("a", "b"))
+    fits = F.expr(f"least(total, total_a) >= {similarity} * greatest(total, total_a) * (1 - 1e-9)")
+    fits = fits & (agreeing(F.col("marks"), F.col("marks_a")) >= least_agreeing(similarity))
+    own = members.groupBy("rep").agg(first("total"), first("marks"))
+    own = own.select(F.col("rep").alias("a"), F.col("total").alias("total_a"), F.col("marks").alias("marks_a"))
+    stars = members.where("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(first("total"), first("marks"))
+    stars = stars.join(own, "a").where(fits).select("a", "b")
+    links = checkpoint(verify(checkpoint(stars), known, idf, similarity).select("a", "b"))
     # the rest: members that their bucket's leader doesn't link, against all of the bucket outside their component
+    parts = checkpoint(connected_components(links))
     matched = links.select(F.col("a").alias("leader"), F.col("b").alias("rep")).distinct()
-    loose = members.where("rep <> leader").join(matched, ["leader", "rep"], "left_anti")
-    loose = loose.select("band", "value", F.col("rep").alias("x"), F.col("total").alias("total_x"), "leader")
-    parts = connected_components(links)
     labelled = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "part", F.coalesce("component", "rep")
     )
-    loose = loose.join(parts.withColumnRenamed("node", "x"), "x", "left").withColumn("part_x", F.coalesce("component", "x"))
+    loose = labelled.where("rep <> leader").join(matched, ["leader", "rep"], "left_anti")
+    loose = loose.select(
+        "band", "value", F.col("rep").alias("x"), F.col("total").alias("total_a"), F.col("marks").alias("marks_a"), F.col("part").alias("part_x")
+    )
     rest = (
-        loose.drop("component")
-        .join(labelled.select("band", "value", "rep", "total", "part"), ["band", "value"])
+        loose.join(labelled.select("band", "value", "leader", "rep", "total", "marks", "part"), ["band", "value"])
         .where("x <> rep and rep <> leader and part <> part_x")
-        .where(f"least(total, total_x) >= {similarity} * greatest(total, total_x) * (1 - 1e-9)")
+        .where(fits)
         .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
         .distinct()
     )
     rest = checkpoint(rest)
-    if rest.take(1):
-        links = links.unionByName(verify(rest, known, idf, similarity).select("a", "b"))
-        links = checkpoint(links)
-    same = signed.join(classes.select("md5", "rep"), "md5").select("doc_id", "rep").where("doc_id <> rep")
-    parts = connected_components(links.unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    out = docs.select("doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    more = checkpoint(verify(rest, known, idf, similarity).select("a", "b")) if rest.take(1) else rest
+    # a doc_id with several texts joins their classes
+    same = signed.join(classes.select("md5", "rep"), "md5").select("doc_id", "rep")
+    least = checkpoint(same.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
+    several = same.join(least.where("least < most").select("doc_id", "least"), "doc_id").where("rep > least")
+    more = more.unionByName(several.select(F.col("least").alias("a"), F.col("rep").alias("b")))
+    # what is left joins the components so far, of which each is one node
+    label = lambda df, name: df.join(parts.toDF(name, "_part"), name, "left").withColumn(name, F.coalesce("_part", name)).drop("_part")
+    last = connected_components(label(label(more, "a"), "b"))
+    own = label(least.select("doc_id", F.col("least").alias("part")), "part")
+    own = own.join(last.toDF("part", "_last"), "part", "left").select("doc_id", F.coalesce("_last", "part").alias("class_id"))
+    out = docs.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 

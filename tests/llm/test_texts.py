@@ -101,6 +101,43 @@ def test_near_duplicates_match_all_pairs(spark):
     assert len(border) <= 1, {i: (got[i], want[i]) for i in border}
 
 
+def test_agreeing_samples_tell_far_pairs_from_near_ones(spark):
+    r = np.random.default_rng(3)
+    a = r.integers(0, 1 << 63, (400, minhash.BANDS * minhash.ROWS), dtype=np.uint64) << np.uint64(1)
+    b = np.where(r.random(a.shape) < np.repeat([[0.8], [0.3]], 200, axis=0), a, r.integers(0, 1 << 63, a.shape, dtype=np.uint64) << np.uint64(1))
+    rows = [(minhash.nibbles(x).view(np.int64).tolist(), minhash.nibbles(y).view(np.int64).tolist()) for x, y in zip(a, b)]
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [x[0] for x in frame.select(minhash.agreeing(F.col("a"), F.col("b"))).collect()]
+    assert got == ((a >> np.uint64(60)) == (b >> np.uint64(60))).sum(axis=1).tolist()
+    least = minhash.least_agreeing(0.8)
+    assert all(n >= least for n in got[:200]) and sum(n >= least for n in got[200:]) <= 4
+
+
+def test_a_doc_id_with_several_texts_joins_their_classes(spark):
+    a, b = prose(80, 1), prose(80, 2)
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, prose(80, 3)), (5, change(b, 1, 4))]
+    got = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (5, 1)]
+
+
+def test_near_copies_are_found(spark):
+    """Of copies with a few words changed, those of a similarity of 0.8 or more: at least 99 in 100."""
+    rows, pairs = [], []
+    for k in range(60):
+        text = prose(150 + k, 2000 + k)
+        rows.append((3 * k, text))
+        for i in (1, 2):
+            rows.append((3 * k + i, change(text, i + k % 3, 4000 + 3 * k + i)))
+            pairs.append((3 * k, 3 * k + i))
+    docs = frame(spark, rows)
+    idf = minhash.idf_table(docs)
+    sets = {i: s for (i, _), s in zip(rows, minhash.shingles([t for _, t in rows]))}
+    near = [(a, b) for a, b in pairs if minhash.weighted_jaccard(*[(sets[i][0], minhash.weights(*sets[i], idf)) for i in (a, b)]) >= 0.8]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert len(near) > 60 and sum(got[a] == got[b] for a, b in near) >= 0.99 * len(near)
+    assert all(got[i] // 3 == i // 3 for i in got)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     rows = [(1, None), (2, ""), (3, " ,. "), (4, None), (5, "a b"), (6, "a  b"), (7, "A, b"), (8, long), (9, long + " end"), (None, "a b")]
