@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import read
+from quernstone.llm.spans import prefix_sums
 
 OPEN, SHUT, END = "<turn:", ">", "</turn>"
 ATTACHED = ("image", "audio", "document")
@@ -79,19 +80,13 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     chats = flat.groupBy("conv_id").agg(each.alias("turns"))
     # the number of the first attachment of each turn
     count = lambda t: F.size(F.filter(t["parts"], lambda p: p["type"] != "text"))
-    running = lambda xs: F.aggregate(
-        xs,
-        F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out")),
-        lambda acc, x: F.struct((acc["n"] + x).alias("n"), F.concat(acc["out"], F.array(acc["n"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    chats = chats.withColumn("firsts", running(F.transform("turns", count)))
+    chats = chats.withColumn("firsts", prefix_sums(F.transform("turns", count)))
 
     def visit(parts: Column, first: Column) -> Column:
         """Each part with its attachment's number."""
         flags = F.transform(parts, lambda p: F.when(p["type"] != "text", 1).otherwise(0))
         return F.zip_with(
-            parts, running(flags), lambda p, before: F.struct(p.alias("p"), (first + before).alias("id"))
+            parts, prefix_sums(flags), lambda p, before: F.struct(p.alias("p"), (first + before).alias("id"))
         )
 
     chats = chats.withColumn(
@@ -119,7 +114,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         ),
     )
     lengths = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))
-    chats = chats.withColumn("starts", running(lengths))
+    chats = chats.withColumn("starts", prefix_sums(lengths))
     loss = F.filter(
         F.zip_with(
             "pieces",
