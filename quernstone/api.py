@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterator
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from quernstone import __version__
 from quernstone.catalog import table_request
 from quernstone.engine import Engine, Status
@@ -89,7 +92,8 @@ class Api:
             "queryDefinition": found["definition"],
         }
 
-    def get_result(self, query_id: str, body: Any = None) -> Reply:
+    def get_result(self, query_id: str, body: Any = None, stream: bool = False) -> Reply:
+        """The result by columns; with `stream` a body of any size comes as an iterator of pieces of its JSON."""
         found = self._find(query_id)
         if isinstance(found, tuple):
             return found
@@ -101,12 +105,30 @@ class Api:
             rows = self.engine.result_frame(query_id, limit)
         except QueryError as error:
             return 400, _message(error.problems[0].error)
+        if stream and not (limit and limit > 0):  # a limited one is read at once, as its rows may be others each time
+            return 200, self._pieces(query_id, rows, flush)
         columns = [c.to_pylist() for c in rows.toArrow().columns]
         count = len(columns[0]) if columns else 0
         if flush:
             self.engine.flush(query_id)
         return 200, [{"rowCount": count, "columns": columns}] if count else []
 
+    def _pieces(self, query_id: str, rows: DataFrame, flush: bool) -> Iterator[str]:
+        """One pass for each column, a partition of it at a time, over rows that have the same order each time."""
+        count = rows.count()
+        if not count:
+            yield "[]"
+        else:
+            yield f'[{{"rowCount": {count}, "columns": ['
+            for i, name in enumerate(rows.columns):
+                yield ", [" if i else "["
+                for k, (value,) in enumerate(rows.select(name).toLocalIterator()):
+                    yield (", " if k else "") + json.dumps(value, ensure_ascii=False)
+                yield "]"
+            yield "]}]"
+        if flush:
+            self.engine.flush(query_id)
+
     def get_error(self, query_id: str) -> Reply:
         found = self._find(query_id)
         if isinstance(found, tuple):

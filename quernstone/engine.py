@@ -156,13 +156,16 @@ class Engine:
         return self.errors.read().get(query_id)
 
     def result_frame(self, query_id: str, row_limit: int | None = None) -> DataFrame:
-        """The stored result, in the query's order if it has one; row_limit counts if it is above 0."""
+        """The stored result, in the query's order if it has one; row_limit counts if it is above 0.
+
+        Rows that tie in the order are sorted by all their columns, so that each reading has one order.
+        """
         record = self.query(query_id) or {}
         if not record.get("result"):
             raise QueryError("Result of this query is not available")
         rows = self.spark.read.parquet(self._result(query_id))
         order = [rows[f"c{i}"].asc() if up else rows[f"c{i}"].desc() for i, up in record.get("order", [])]
-        rows = rows.orderBy(*order) if order else rows
+        rows = rows.orderBy(*order, *rows.columns) if order else rows
         return rows.limit(row_limit) if row_limit and row_limit > 0 else rows
 
     def flush(self, query_id: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import re
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
@@ -31,7 +32,7 @@ def route(api: Api, method: str, path: str, body: bytes, wait: bool = True) -> R
         ("GET", "table"): api.get_table,
         ("DELETE", "table"): api.delete_table,
         ("GET", "query"): api.get_query,
-        ("GET", "result"): lambda key: api.get_result(key, given() if body.strip() else None),
+        ("GET", "result"): lambda key: api.get_result(key, given() if body.strip() else None, stream=True),
         ("GET", "error"): api.get_error,
     }
     path = path.split("?")[0]
@@ -54,9 +55,14 @@ def serve(api: Api, port: int = 8080, host: str = "0.0.0.0") -> ThreadingHTTPSer
                 status, reply = route(api, self.command, self.path, body, wait)
             except QueryError as error:
                 status, reply = (404 if self.path.startswith("/result/") else 400), problems_json(error.problems)
-            data = b"" if reply == "" else json.dumps(reply, ensure_ascii=False).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
+            if isinstance(reply, Iterator):  # its length isn't known: it ends with the connection
+                self.end_headers()
+                for piece in reply:
+                    self.wfile.write(piece.encode())
+                return
+            data = b"" if reply == "" else json.dumps(reply, ensure_ascii=False).encode()
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

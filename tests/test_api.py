@@ -8,9 +8,8 @@ import urllib.request
 
 import pytest
 
-from quernstone.types import Type
-
 from quernstone.catalogue import col, lit, of, op
+from quernstone.types import Type
 
 
 def table(*columns, name="t"):
@@ -214,6 +213,7 @@ def test_http(api, tmp_path):
     query_id = call("POST", "/query", select(of("t", "id")))[1]
     assert call("GET", f"/query/{query_id}")[1]["status"] == "COMPLETED"
     assert call("GET", f"/result/{query_id}", {"rowLimit": 1})[1][0]["rowCount"] == 1
+    assert call("GET", f"/result/{query_id}") == (200, [{"rowCount": 2, "columns": [[1, 2]]}])
     assert call("GET", f"/result/{query_id}", b"{")[0] == 404
     assert call("POST", "/query", b"{")[0] == 400 and "problems" in call("POST", "/query", b"{")[1]
     assert call("GET", f"/error/{query_id}")[0] == 400 and call("GET", "/query/abc")[0] == 404
